@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,7 +18,22 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SLICE_CHARS = 8_000_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application, so their Python workers can import it wherever they run."""
+    sc = spark.sparkContext
+    if spark.conf.get("lumenframe.shipped", "") == sc.applicationId:
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="lumenframe-")) / "lumenframe.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    spark.conf.set("lumenframe.shipped", sc.applicationId)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -55,23 +72,25 @@ def add_columns(df: DataFrame, text: str, fields: T.StructType, make: Callable[[
     for null) to a list of values for each of ``fields``. Input columns with a name of
     ``fields`` or ``drop`` are replaced or left out; all others pass through as they are.
     """
-    names = [f.name for f in fields]
-    low = {n.lower() for n in (*names, *drop)}
+    low = {n.lower() for n in (*fields.names, *drop)}
     kept = [f for f in df.schema.fields if f.name.lower() not in low]
-    source = "\x00text"  # no input column can clash with it
     schema = T.StructType([*kept, *fields])
     arrow, new = to_arrow_schema(schema), to_arrow_schema(fields)
     n_kept = len(kept)
+    at = next((i for i, f in enumerate(kept) if f.name == text), n_kept)  # the text is sent once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for part in slices(batch, n_kept):
-                out = f(part.column(n_kept).to_pylist())
-                cols = [part.column(i).cast(arrow.field(i).type) if part.column(i).type != arrow.field(i).type else part.column(i) for i in range(n_kept)]
+            for part in slices(batch, at):
+                out = f(part.column(at).to_pylist())
+                cols = [c if c.type == x.type else c.cast(x.type) for c, x in zip(part.columns[:n_kept], arrow)]
                 yield pa.RecordBatch.from_arrays([*cols, *(pa.array(out[x.name], x.type) for x in new)], schema=arrow)
 
-    return df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text}`").alias(source)).mapInArrow(run, schema)
+    sent = [F.col(f"`{f.name}`") for f in kept]
+    if at == n_kept:
+        sent.append(F.col(f"`{text}`").alias("\x00text"))  # no input column clashes with it
+    return df.select(*sent).mapInArrow(run, schema)
 
 
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
