@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-LEVEL = 1
-#: Bytes that are compressed at once: short enough that the dictionary, not the text itself, decides.
-CHUNK = 2048
+LEVEL = 12
+#: Bytes that are compressed at once: chunks bound memory, and within one the dictionary still tells more than the text itself.
+CHUNK = 8192
 #: The documented bound of the training sample: documents a language, characters of each, bytes of a dictionary.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY = 400, 2000, 112_000
 MAX_LANGUAGES = 256
