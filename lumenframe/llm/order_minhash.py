@@ -359,5 +359,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return all_docs.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs whose id is the smallest of its class, one row of each id; rows with a null id stay if their class has no id.
+
+    The ids to drop are broadcast if they are few, else joined; the texts are not shuffled then.
+    """
+    classes = common.written(near_duplicates(docs, key, text), "classes")
+    drop = classes.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("class_id"))).select("doc_id").distinct()
+    repeated = classes.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
+    out = docs.withColumn("_id", F.col(key).cast("long"))
+    n_drop, n_repeated = drop.count(), repeated.count()
+    out = out.join(F.broadcast(drop.withColumnRenamed("doc_id", "_drop")) if n_drop <= BROADCAST_IDS else drop.withColumnRenamed("doc_id", "_drop"), F.col("_id") == F.col("_drop"), "left_anti")
+    if n_repeated:  # rows that share an id are rare: they alone are sorted, to keep one of each
+        few = F.broadcast(repeated.withColumnRenamed("doc_id", "_again")) if n_repeated <= BROADCAST_IDS else repeated.withColumnRenamed("doc_id", "_again")
+        single = out.join(few, F.col("_id") == F.col("_again"), "left_anti")
+        multiple = out.join(few, F.col("_id") == F.col("_again"), "left_semi")
+        out = single.unionByName(multiple.dropDuplicates(["_id"]))
+    return out.drop("_id")
+
+
 def op3_order_minhash(spark, sf_dir):
     return near_duplicates(common.read(spark, sf_dir, "documents"))
