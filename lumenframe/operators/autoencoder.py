@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import networks
+from ..plans.store import ship
 
 #: From parameters to the error expression of one example.
 Build = Callable[[Sequence[float]], Column]
@@ -59,6 +60,7 @@ def xor_rows(activation: str = "elliott") -> RowError:
 
 def losses(examples: DataFrame, columns: Sequence[str], error: RowError, candidates: Sequence[np.ndarray]) -> list[float]:
     """The loss of several candidates in one pass: a task sends one number for each. New parameters need no new plan, which generated expressions would."""
+    ship(examples.sparkSession)
 
     def run(batches):
         total = np.zeros(len(candidates))

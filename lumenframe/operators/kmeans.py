@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import doubles, squared_distance
+from ..plans.store import ship
 
 MOST = 100
 
@@ -71,6 +72,7 @@ def one_round(points: DataFrame, centroids: np.ndarray, before: np.ndarray | Non
 
     What changed is told by assigning to the centroids before as well, so assignments are never stored.
     """
+    ship(points.sparkSession)
     k, dim = centroids.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

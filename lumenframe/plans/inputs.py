@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.counters import COUNTERS
 from ..operators.report import THREADS
+from .store import ship
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.store import ship
+
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
     """(line, at): lines of one file or folder, in an order that follows the file's."""
@@ -111,7 +113,7 @@ def integers(spark: SparkSession, path: str) -> DataFrame:
 
 
 #: The header of binary examples: numbers of inputs, outputs and examples.
-HEADER = struct.Struct("<iii")
+HEADER = "<iii"
 
 
 def examples(spark: SparkSession, path: str, n_inputs: int, n_outputs: int) -> DataFrame:
@@ -119,17 +121,19 @@ def examples(spark: SparkSession, path: str, n_inputs: int, n_outputs: int) -> D
 
     A header that does not fit, or a file that is too short, is an error.
     """
+    ship(spark)
     names = [f"x{i}" for i in range(n_inputs)] + [f"y{i}" for i in range(n_outputs)]
+    size = struct.calcsize(HEADER)
 
     def run(batches):
         for b in batches:
             for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                i, o, n = HEADER.unpack_from(raw)
+                i, o, n = struct.unpack_from(HEADER, raw)
                 if (i, o) != (n_inputs, n_outputs):
                     raise ValueError(f"{name} has {i} inputs and {o} outputs")
-                if len(raw) < HEADER.size + 4 * n * (i + o):
+                if len(raw) < size + 4 * n * (i + o):
                     raise ValueError(f"{name} is too short for {n} examples")
-                x = np.frombuffer(raw, "<f4", n * (i + o), HEADER.size).reshape(n, i + o)
+                x = np.frombuffer(raw, "<f4", n * (i + o), size).reshape(n, i + o)
                 for at in range(0, n, 100_000):
                     some = x[at : at + 100_000]
                     yield pa.RecordBatch.from_pydict({"file": [name] * len(some), "id": np.arange(at, at + len(some))} | {c: some[:, j].copy() for j, c in enumerate(names)})
