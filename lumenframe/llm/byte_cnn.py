@@ -9,7 +9,6 @@ is linear and could not see repetition otherwise.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
 from functools import partial
 
@@ -23,8 +22,8 @@ STRIDE, BLOCKS = 8, 4
 WIDTH = STRIDE * BLOCKS
 EMBED, FILTERS, HIDDEN = 7, 48, 16
 LAGS = range(2, 25)
-#: The documented bound of the training sample: documents of each label, bytes of each.
-SAMPLE_DOCS, SAMPLE_BYTES = 1500, 4096
+#: The documented bound of the training sample: documents of each label, characters of each.
+SAMPLE_DOCS, SAMPLE_CHARS = 1500, 4096
 EPOCHS, BATCH, RATE = 12, 32, 0.004
 THRESHOLD = 0.3
 #: Bytes that are scored at once; the pool carries over, so a document of any length is covered.
@@ -170,14 +169,6 @@ def train(texts: list, labels: list[int], seed: int = 7, epochs: int = EPOCHS) -
     return net
 
 
-def window(text: str) -> str:
-    """At most SAMPLE_BYTES of a training text, from a place that depends on the text alone."""
-    if len(text) <= SAMPLE_BYTES:
-        return text
-    at = zlib.crc32(text.encode("utf-8", "replace")) % (len(text) - SAMPLE_BYTES)
-    return text[at : at + SAMPLE_BYTES]
-
-
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> Net:
     """Trained on at most sample_docs labelled documents of each label, chosen by a hash of the key.
 
@@ -187,9 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(label).alias("y"))
     chosen = common.bounded_sample(known, "y", "k", sample_docs)
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()).join(F.broadcast(chosen), "k")
-    # the same window as window(), cut before it leaves the executors
-    at = F.when(F.length("t") > SAMPLE_BYTES, F.crc32(F.col("t").cast("binary")) % (F.length("t") - SAMPLE_BYTES)).otherwise(0)
-    rows = rows.select("k", "y", F.substring("t", (at + 1).cast("int"), F.lit(SAMPLE_BYTES)).alias("t")).dropDuplicates(["k"]).collect()
+    rows = rows.select("k", "y", common.window("t", SAMPLE_CHARS).alias("t")).dropDuplicates(["k"]).collect()
     rows.sort(key=lambda r: str(r.k))
     return train([r.t for r in rows], [r.y for r in rows])
 

@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,45 +10,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..plans.store import folder, ship
+
 #: Rows of a batch are handed on in slices of about so many characters.
 SLICE_CHARS = 8_000_000
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application, so their Python workers can import it wherever they run."""
-    sc = spark.sparkContext
-    if spark.conf.get("lumenframe.shipped", "") == sc.applicationId:
-        return
-    root = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix="lumenframe-")) / "lumenframe.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    sc.addPyFile(str(path))
-    spark.conf.set("lumenframe.shipped", sc.applicationId)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared folder that the cluster names in spark.checkpoint.dir.
-
-    Where that setting is absent (tests, one machine) a temporary folder is made once
-    per session and remembered in the session's own settings.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("lumenframe.work.dir", "")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lumenframe-")
-        spark.conf.set("lumenframe.work.dir", root)
-    return f"{root.rstrip('/')}/lumenframe/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """df, written to the shared folder and read again: its lineage ends here, and a lost executor costs no more than a reread."""
-    path = work_dir(df.sparkSession, name)
+    path = folder(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -121,6 +92,13 @@ def bounded_sample(df: DataFrame, stratum: str, order: str, most: int) -> DataFr
     return near.withColumn("_n", F.row_number().over(Window.partitionBy(stratum).orderBy("_h", order))).where(F.col("_n") <= most).drop("_n", "_h")
 
 
+def window(text: str, most: int) -> F.Column:
+    """At most so many characters of a text, from a place that its checksum picks: for bounded training samples."""
+    n = F.length(text)
+    at = F.when(n > most, F.crc32(F.col(text).cast("binary")) % (n - most + 1)).otherwise(0)
+    return F.substring(text, (at + 1).cast("int"), F.lit(most))
+
+
 def remainder(column: str, n: int) -> F.Column:
     """crc32 of an id as text, modulo n; null ids have the remainder of the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

@@ -511,7 +511,7 @@ def score(docs: DataFrame, train: F.Column, key: str = "doc_id", text: str = "te
     own = vocabulary.repartition(few, "r")
     sums = own.mapInArrow(partial(_count_bits, code=code, n_gates=gates.n), SUMS).repartition("predictor", "block").sortWithinPartitions("predictor", "block").mapInArrow(_add_blocks, SUMS)
     tables = [np.zeros((2, 1 << b), np.float32) for b in SLOT_BITS]
-    for r in sums.toLocalIterator():  # the tables' size is fixed
+    for r in sums.collect():  # the tables' size is fixed
         tables[r.predictor][:, r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(unpack(r.counts), "<f4").reshape(2, -1)
     raw = spark.sparkContext.broadcast((code, gates, tables))
     learned = own.mapInArrow(partial(_train, shared=raw, n_gates=gates.n), "i int, x double, n long").groupBy("i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x")).collect()

@@ -109,7 +109,7 @@ def _searcher(shared) -> Callable:
 
 def merge_spans(a: F.Column, b: F.Column) -> F.Column:
     """The union of two flat lists of disjoint sorted spans."""
-    pairs = lambda x: F.transform(F.sequence(F.lit(0), F.size(x) / 2 - 1).cast("array<int>"), lambda i: F.struct(x[2 * i].alias("s"), x[2 * i + 1].alias("e")))
+    pairs = lambda x: F.transform(F.sequence(F.lit(0), F.shiftright(F.size(x), 1) - 1), lambda i: F.struct(x[2 * i].alias("s"), x[2 * i + 1].alias("e")))
     some = lambda x: F.when(F.size(x) > 0, pairs(x)).otherwise(F.array().cast("array<struct<s:bigint,e:bigint>>"))
     step = lambda acc, p: F.when((F.size(acc) > 0) & (p["s"] <= F.element_at(acc, -1)), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.greatest(F.element_at(acc, -1), p["e"])))).otherwise(F.concat(acc, F.array(p["s"], p["e"])))
     return F.aggregate(F.array_sort(F.concat(some(a), some(b))), F.array().cast("array<bigint>"), step)

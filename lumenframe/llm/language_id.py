@@ -37,10 +37,10 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
 
     Languages without any text are not learned. More than MAX_LANGUAGES languages are an error.
     """
-    labelled = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(lang).alias("l"), F.substring(text, 1, SAMPLE_CHARS).alias("t"))
+    labelled = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(lang).alias("l"), common.window(text, SAMPLE_CHARS).alias("t"))
     rows = common.bounded_sample(labelled, "l", "k", SAMPLE_DOCS).collect()
     found: dict[str, list[bytes]] = {}
-    for r in sorted(rows, key=lambda r: (r.l, r.k)):
+    for r in sorted(rows, key=lambda r: (r.l, r.k or "", r.t)):
         found.setdefault(r.l, []).append(normal(r.t))
     if len(found) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")

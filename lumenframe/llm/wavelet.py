@@ -255,6 +255,6 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def op1_wavelet(spark, sf_dir):
     import public_tokenizers
 
-    path = common.work_dir(spark, "wavelet")
+    path = common.folder(spark, "wavelet")
     write_shards(encode_shards(common.read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")), path)
     return read_tokens(spark, path)
