@@ -167,7 +167,7 @@ def pack(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = EN
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer, next_id = encoder(path).encode, Packer(limits), TaskContext.get().partitionId() << 36
+        encode, packer, next_id = encoder(path).encode_many, Packer(limits), TaskContext.get().partitionId() << 36
         rows: list[tuple] = []
 
         def put(sequences):
@@ -187,8 +187,8 @@ def pack(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = EN
 
         for batch in batches:
             for part in common.slices(batch, 1):
-                for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    raw = memoryview(encode(t) + end)
+                for k, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
+                    raw = memoryview(ids + end)
                     n = len(raw) // 4
                     put(packer.add((k, raw), 0, n, n - 1))
                 if len(rows) > 20_000:

@@ -8,13 +8,14 @@ from the punctuation around them; any other chunk goes to the library as it is.
 
 from __future__ import annotations
 
+import os
 import re
 from functools import lru_cache
 
 import numpy as np
 
-#: Entries that a worker keeps; beyond that it starts anew. About 200 bytes each.
-KEPT = 300_000
+#: Entries that a worker keeps of each kind, in two generations of so many; about 200 bytes each.
+KEPT_CHUNKS, KEPT_WORDS = 250_000, 400_000
 LONG = 64
 _LETTER = "a-zªµºß-öø-ÿ"
 _NUMBER = "0-9²³¹¼½¾"
@@ -23,40 +24,82 @@ SIMPLE = re.compile(r"[\x21-\x7E\xA1-\xFF]+")
 PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
 
 
-class _Kept(dict):
-    def __init__(self, make):
-        self.make = make
+class _Kept:
+    """What was made lately. When it is full it becomes the old generation, from which entries return when they are used again: the frequent ones stay."""
 
-    def __missing__(self, key):
-        value = self.make(key)
-        if len(key) <= LONG:
-            if len(self) >= KEPT:
-                self.clear()
-            self[key] = value
-        return value
+    def __init__(self, most: int):
+        self.most, self.now, self.old = most, {}, {}
+
+    def new(self, keys: set) -> list:
+        """Which keys are not known; all others are in `now` afterwards, and so are these once they are put there."""
+        if len(self.now) >= self.most:
+            self.now, self.old = {}, self.now
+        absent = keys - self.now.keys()
+        known = absent & self.old.keys()
+        self.now.update((k, self.old[k]) for k in known)
+        return list(absent - known)
 
 
 class WordEncoder:
     """ids of texts as bytes of little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.chunks, self.words = _Kept(self._chunk), _Kept(self._ids)
-
-    def _ids(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _chunk(self, chunk: bytes) -> bytes:
-        text = chunk.decode("utf-8")
-        if "<|" in text or not SIMPLE.fullmatch(text):
-            return self._ids(text)
-        return b"".join(map(self.words.__getitem__, PIECE.findall(text.lower())))
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        self.whole = Tokenizer.from_file(path)
+        # the same model for pieces that are normal and cut already
+        self.pieces = Tokenizer.from_file(path)
+        self.pieces.normalizer = normalizers.Sequence([])
+        self.pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.chunks, self.words = _Kept(KEPT_CHUNKS), _Kept(KEPT_WORDS)
+
+    def _direct(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.whole.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Words go to the library by the hundred; tokens that end a word tell where each one's ids end."""
+        groups = [words[i : i + 500] for i in range(0, len(words), 500)]
+        for group, e in zip(groups, self.pieces.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.asarray(e.ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(group) or ends[-1] != len(ids):
+                self.words.now.update(zip(group, self._direct(group)))
+                continue
+            raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+            self.words.now.update((w, raw[a:b]) for w, a, b in zip(group, at, at[1:]))
+
+    def _learn_chunks(self, chunks: list[bytes]) -> None:
+        plain, cut, odd = [], [], []
+        for c in chunks:
+            text = c.decode("utf-8")
+            if "<|" in text or not SIMPLE.fullmatch(text):
+                odd.append((c, text))
+            else:
+                plain.append(c)
+                cut.append(PIECE.findall(text.lower()))
+        self._learn_words(self.words.new(set().union(*cut)))
+        get = self.words.now.__getitem__
+        self.chunks.now.update((c, b"".join(map(get, p))) for c, p in zip(plain, cut))
+        self.chunks.now.update(zip((c for c, _ in odd), self._direct([t for _, t in odd])))
+
+    def encode_many(self, texts: list) -> list[bytes]:
+        """The ids of each whole text; none for null."""
+        split = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
+        new = self.chunks.new(set().union(*split))
+        self._learn_chunks(new)
+        get = self.chunks.now.__getitem__
+        out = [b"".join(map(get, w)) for w in split]
+        for c in new:
+            if len(c) > LONG:
+                del self.chunks.now[c]
+        return out
 
     def encode(self, text: str | None) -> bytes:
-        """The ids of a whole text; none for null."""
-        return b"".join(map(self.chunks.__getitem__, text.encode("utf-8", "replace").split())) if text else b""
+        return self.encode_many([text])[0]
 
 
 @lru_cache(2)
