@@ -149,6 +149,20 @@ def fit(examples: DataFrame, columns: Sequence[str], error: RowError, n_paramete
         examples.unpersist()
 
 
+def repeated_loss(examples: DataFrame, columns: Sequence[str], error: RowError, parameters: Sequence[float], times: int, flops: float = 0.0) -> tuple[list[float], Timing]:
+    """The same evaluation several times over examples in memory: its results, which should agree, and its timing."""
+    examples = examples.persist()
+    try:
+        timing, got = Timing(flops * examples.count()), []
+        for _ in range(times):
+            t = perf_counter()
+            got += losses(examples, columns, error, [np.asarray(parameters, float)])
+            timing.seconds.append(perf_counter() - t)
+        return got, timing
+    finally:
+        examples.unpersist()
+
+
 def predict(examples: DataFrame, parameters: Sequence[float], inputs: Sequence[str] = ("x0", "x1"), sizes: Sequence[int] = networks.AUTOENCODER, activation: str = "elliott") -> DataFrame:
     """examples with o0, o1, ..."""
     outs = networks.forward([F.col(c).cast("double") for c in inputs], parameters, sizes, activation)

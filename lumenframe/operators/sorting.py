@@ -77,3 +77,13 @@ def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
 def running_min(df: DataFrame, order: str, column: str, partition: str) -> DataFrame:
     w = Window.partitionBy(partition).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return df.select(partition, order, column, F.min(column).over(w).alias("least"))
+
+
+def row_ranges(df: DataFrame, order: list[Column], parts: int) -> DataFrame:
+    """df with `part`: consecutive rows in `parts` ranges whose sizes differ by one at most, the larger ones first."""
+    numbered = with_position(df, order, "_pos")
+    n = df.count()
+    size, rest = divmod(n, parts)
+    wide = rest * (size + 1)
+    part = F.when(F.col("_pos") < wide, F.floor(F.col("_pos") / (size + 1))).otherwise(rest + F.floor((F.col("_pos") - wide) / max(1, size)))
+    return numbered.withColumn("part", part.cast("int")).drop("_pos")

@@ -205,3 +205,16 @@ def test_generators_do_not_depend_on_partitions(spark):
         assert sorted(map(tuple, f().collect())) == sorted(map(tuple, f().repartition(5).collect()))
     t = generators.autoencoder(spark, 200, 0.0, linear=False).collect()
     assert all(abs(r.x0) <= 2.2 and r.x1 == pytest.approx(r.x0**3) for r in t)
+
+
+def test_row_ranges(spark):
+    df = spark.createDataFrame([(x,) for x in range(11)], "v int").repartition(3)
+    got = rows(sorting.row_ranges(df, [F.col("v").asc()], 4), "v", "part")
+    assert [p for _, p in got] == [0, 0, 0, 1, 1, 1, 2, 2, 2, 3, 3]
+
+
+def test_repeated_evaluations_agree(spark):
+    ex = generators.autoencoder(spark, 100)
+    got, timing = autoencoder.repeated_loss(ex, ["x0", "x1"], autoencoder.autoencoder_rows(), [0.1] * 83, 3, 128)
+    want = autoencoder.loss(ex, autoencoder.autoencoder_error(), [0.1] * 83).first().loss
+    assert got == pytest.approx([want] * 3) and timing.row()["n"] == 3 and timing.row()["gflops"] > 0
