@@ -92,12 +92,12 @@ class WaveletShard:
         level = code[tokens] if n else np.zeros(0, np.uint16)
         zeros, planes = [], []
         for b in reversed(range(max(0, len(alphabet) - 1).bit_length())):
-            ones = (level >> b & 1).view(bool) if level.dtype == np.uint8 else (level >> b & 1).astype(bool)
+            ones = (level & level.dtype.type(1 << b)) != 0
             packed = np.packbits(ones, bitorder="little").tobytes()
             planes.append(Plane(packed + bytes(-len(packed) % 8), n))
-            low = level[~ones]
+            low = np.compress(~ones, level)  # several times as fast as indexing by a mask
             zeros.append(len(low))
-            level = np.concatenate([low, level[ones]])
+            level = np.concatenate([low, np.compress(ones, level)])
         return cls(doc_ids, np.asarray(lengths, np.int64), alphabet.astype(np.uint32), zeros, planes)
 
     def to_bytes(self) -> bytes:
@@ -130,8 +130,8 @@ class WaveletShard:
         for b, (plane, z) in enumerate(zip(reversed(self.planes), reversed(self.zeros))):
             ones = plane.bits()
             w = np.empty_like(v)
-            w[~ones] = v[:z]
-            w[ones] = v[z:] | v.dtype.type(1 << b)
+            w[np.flatnonzero(~ones)] = v[:z]
+            w[np.flatnonzero(ones)] = v[z:] | v.dtype.type(1 << b)
             v = w
         return self.alphabet[v].astype("<u4", copy=False)
 
@@ -196,7 +196,7 @@ def encode_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_tokens
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seq = encoder(path).encode, TaskContext.get().partitionId(), 0
+        encode, part, seq = encoder(path).encode_many, TaskContext.get().partitionId(), 0
         ids, pieces, lengths, total = [], [], [], 0
 
         def shard():
@@ -205,8 +205,8 @@ def encode_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_tokens
 
         for batch in batches:
             for rows in common.slices(batch, 1):
-                for k, t in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-                    piece = encode(t) + end
+                for k, piece in zip(rows.column(0).to_pylist(), encode(rows.column(1).to_pylist())):
+                    piece += end
                     if total and total + len(piece) // 4 > shard_tokens:
                         yield shard()
                         seq += 1
