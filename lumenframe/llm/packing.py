@@ -200,6 +200,48 @@ def pack(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = EN
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
 
 
+def pack_examples(examples: DataFrame, limits: Limits = Limits(), key: str = "conv_id", tokens: str = "n_tokens", loss: str = "n_loss") -> DataFrame:
+    """A row for each example of instruction data: key, sequence_id, offset, n_tokens, n_loss, fits.
+
+    Examples come with their numbers of tokens and of loss-bearing tokens and are never cut. One
+    that is over a limit by itself is a sequence of its own with fits false; nulls count as 0, and
+    an example without tokens takes a segment of length 0. Nothing is shuffled.
+    """
+    kind = examples.schema[key].dataType
+    schema = T.StructType([T.StructField(key, kind), *common.fields("sequence_id long, offset long, n_tokens long, n_loss long, fits boolean")])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, next_id = Packer(limits, cut=False), TaskContext.get().partitionId() << 36
+
+        def out(sequences):
+            nonlocal next_id
+            rows = []
+            for pieces, fits in sequences:
+                offset = 0
+                for p in pieces:
+                    rows.append((p.item, next_id, offset, p.length, p.loss, fits))
+                    offset += p.length
+                next_id += 1
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow) if rows else None
+
+        for batch in batches:
+            done = []
+            for k, n, m in zip(*(c.to_pylist() for c in batch.columns)):
+                n, m = n or 0, m or 0
+                if n > limits.tokens or m > limits.loss_tokens or not n:
+                    done.append(([Piece(k, 0, n, m)], n <= limits.tokens and m <= limits.loss_tokens))
+                else:
+                    done += [(s, True) for s in packer.add(k, 0, n, m)]
+            if done:
+                yield out(done)
+        rest = out([(s, True) for s in packer.finish()])
+        if rest is not None:
+            yield rest
+
+    return examples.select(F.col(key), F.col(tokens).cast("long"), F.col(loss).cast("long")).mapInArrow(run, schema)
+
+
 def op7_packing(spark, sf_dir):
     import public_tokenizers
 

@@ -247,9 +247,40 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int32()), pa.array(s.doc_ids, pa.int64()), pa.array(starts), pa.array(s.lengths), pa.array(crcs, pa.int64())], schema=arrow)
 
     decoded = files.select("part", "seq", "payload").mapInArrow(run, TOKENS)
+    return decoded.join(_offsets(files), ["part", "seq"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def _offsets(files: DataFrame) -> DataFrame:
     before = F.sum("n_tokens").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = files.select("part", "seq", "n_tokens").select("part", "seq", F.coalesce(before, F.lit(0)).alias("base"))
-    return decoded.join(offsets, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    return files.select("part", "seq", "n_tokens").select("part", "seq", F.coalesce(before, F.lit(0)).alias("base"))
+
+
+def count_tokens(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame:
+    """(token, n): how often each token occurs, by ranks in the shards' planes."""
+    arrow = pa.schema([("token", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload in batch.column(0).to_pylist():
+                s = WaveletShard.from_bytes(payload)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array([s.count(t) for t in tokens], pa.int64())], schema=arrow)
+
+    return spark.read.schema(SHARD).parquet(path).select("payload").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def find_token(spark: SparkSession, path: str, token: int) -> DataFrame:
+    """(place): where a token occurs in the whole sequence, by selects in the shards' planes."""
+    arrow = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("local", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, seq, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                places = WaveletShard.from_bytes(payload).occurrences(token)
+                yield pa.RecordBatch.from_pydict({"part": [part] * len(places), "seq": [seq] * len(places), "local": places}, schema=arrow)
+
+    files = spark.read.schema(SHARD).parquet(path)
+    found = files.select("part", "seq", "payload").mapInArrow(run, "part int, seq int, local long")
+    return found.join(_offsets(files), ["part", "seq"]).select((F.col("base") + F.col("local")).alias("place"))
 
 
 def op1_wavelet(spark, sf_dir):

@@ -78,6 +78,15 @@ def test_op1_odd(spark, odd, nothing):
         assert keys == sorted(keys)
 
 
+def test_tokens_are_counted_and_found_in_the_files(spark, sf, ids):
+    path = common.folder(spark, "test")
+    wavelet.write_shards(wavelet.encode_shards(common.read(spark, sf, "documents"), WORDS, shard_tokens=20_000), path)
+    whole = np.concatenate([ids[k] for k in sorted(ids)])
+    tokens = [1, int(whole[0]), 49405]
+    assert {r.token: r.n for r in wavelet.count_tokens(spark, path, tokens).collect()} == {t: int((whole == t).sum()) for t in tokens}
+    assert sorted(r.place for r in wavelet.find_token(spark, path, 1).collect()) == np.flatnonzero(whole == 1).tolist()
+
+
 def test_op2(spark, sf, docs):
     got = registry.QUERIES["op2_language_id"](spark, sf).collect()
     assert len(got) == len(docs) and {r.lang_pred for r in got} <= {d.lang for d in docs.values()} | {"und"}
@@ -232,6 +241,22 @@ def test_op7_odd(spark, odd, nothing):
     assert max(r.length for r in got) == 2048 and packing.pack(nothing, WORDS).count() == 0
 
 
+def test_examples_are_packed_under_all_limits(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, int(rng.integers(1, 300)), int(rng.integers(0, 60))) for i in range(500)] + [(900, 2000, 5), (901, 10, 700), (902, None, None), (None, 7, 1)]
+    limits = packing.Limits(512, 6, 100)
+    got = packing.pack_examples(spark.createDataFrame(rows, "conv_id long, n_tokens long, n_loss long").coalesce(2), limits).collect()
+    assert len(got) == len(rows) and {r.conv_id for r in got if not r.fits} == {900, 901}
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append(r)
+    for s in by.values():
+        s.sort(key=lambda r: r.offset)
+        assert [r.offset for r in s] == np.concatenate([[0], np.cumsum([r.n_tokens for r in s])[:-1]]).tolist()
+        assert not s[0].fits or (sum(r.n_tokens for r in s) <= 512 and len(s) <= 6 and sum(r.n_loss for r in s) <= 100)
+    assert len(by) < 1.25 * max(sum(r[1] or 0 for r in rows) / 512, sum(r[2] or 0 for r in rows) / 100)
+
+
 def test_op8(spark, sf, docs):
     got = registry.QUERIES["op8_byte_cnn"](spark, sf).collect()
     assert len(got) == len(docs)
