@@ -172,13 +172,17 @@ class Events:
         self.word = word[self.byte]
         self.slots = []
         for c, bits in zip(contexts, SLOT_BITS):
-            x = (c[self.byte] ^ (c[self.byte] >> np.uint64(29))) * _MULTIPLY + node
-            x = (x ^ (x >> np.uint64(32))) * _MULTIPLY
-            self.slots.append((x >> np.uint64(64 - bits)).astype(np.int64))
+            x = ((c ^ (c >> np.uint64(29))) * _MULTIPLY).take(self.byte)
+            x += node
+            x ^= x >> np.uint64(32)
+            x *= _MULTIPLY
+            x >>= np.uint64(64 - bits)
+            self.slots.append(x.view(np.int64))
 
 
-def stretch(p):
-    return np.log(p / (1 - p))
+def stretch(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """The logit of (n1 + 0.3) / (n0 + n1 + 0.6), from the counts: finite however large one of them is."""
+    return np.log((n1 + np.float32(0.3)) / (n0 + np.float32(0.3))).clip(-12, 12)
 
 
 class Model:
@@ -192,30 +196,42 @@ class Model:
         self.map = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, MAP_STEPS))), (gates.n, 1))
         self._ready = None
 
+    def __getstate__(self):
+        """Tables travel compressed: most slots of a small corpus are empty, and counts are small."""
+        return (self.code, self.gates, [pack(t.astype("<u4").tobytes()) for t in self.tables], self.weights, self.map)
+
+    def __setstate__(self, state):
+        code, gates, tables, weights, steps = state
+        self.__init__(code, gates, [np.frombuffer(unpack(t), "<u4").astype(np.float32).reshape(2, -1) for t in tables])
+        self.weights, self.map = weights, steps
+
     def _inputs(self, e: Events, gates: np.ndarray, own: np.ndarray | None = None):
         """Stretched predictions and the weight set of each bit. own: words whose occurrence is in the long contexts' counts; it is taken out, as it is of the short ones."""
-        x = np.empty((len(e.bit), PREDICTORS + 1), np.float32)
+        x = []
         if own is None:
             if self._ready is None:
-                self._ready = [stretch((t[1] + 0.3) / (t[0] + t[1] + 0.6)).astype(np.float32) for t in self.tables], confidence(self.tables[1].sum(0)) * CONFIDENCES_SHORT, confidence(self.tables[2].sum(0), CONFIDENCES_SHORT)
-            for i, s in enumerate(e.slots):
-                x[:, i] = self._ready[0][i][s]
-            sure = self._ready[1][e.slots[1]] + self._ready[2][e.slots[2]]
+                self._ready = [stretch(t[0], t[1]).astype(np.float32) for t in self.tables], (confidence(self.tables[1].sum(0)) * CONFIDENCES_SHORT).astype(np.int8), confidence(self.tables[2].sum(0), CONFIDENCES_SHORT).astype(np.int8)
+            x = [r.take(s) for r, s in zip(self._ready[0], e.slots)]
+            sure = (self._ready[1].take(e.slots[1]) + self._ready[2].take(e.slots[2])).astype(np.int64)
         else:
+            zero = ~e.bit
             for i, s in enumerate(e.slots):
-                n0, n1 = self.tables[i][0][s], self.tables[i][1][s]
-                less = own[e.word] if i < 2 else np.float32(1)
-                n0, n1 = np.maximum(n0 - less * ~e.bit, 0), np.maximum(n1 - less * e.bit, 0)
-                x[:, i] = stretch((n1 + 0.3) / (n0 + n1 + 0.6))
+                n0, n1 = self.tables[i][0].take(s), self.tables[i][1].take(s)
+                less = own.take(e.word) if i < 2 else np.float32(1)
+                n0, n1 = np.maximum(n0 - less * zero, 0), np.maximum(n1 - less * e.bit, 0)
+                x.append(stretch(n0, n1))
                 if i == 1:
                     sure = confidence(n0 + n1) * CONFIDENCES_SHORT
                 elif i == 2:
                     sure = sure + confidence(n0 + n1, CONFIDENCES_SHORT)
-        x[:, PREDICTORS] = 0.3
-        return x, gates[e.word] * (CONFIDENCES * CONFIDENCES_SHORT) + sure
+        x.append(np.full(len(e.bit), 0.3, np.float32))
+        return x, gates.take(e.word) * (CONFIDENCES * CONFIDENCES_SHORT) + sure
 
-    def _mix(self, x: np.ndarray, sets: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("ij,ij->i", x, self.weights[sets]), -8, 8)
+    def _mix(self, x: list[np.ndarray], sets: np.ndarray) -> np.ndarray:
+        z = np.zeros(len(sets))
+        for j, v in enumerate(x):
+            z += np.ascontiguousarray(self.weights[:, j]).take(sets) * v
+        return z.clip(-8, 8)
 
     def _refine(self, z: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """The mean of the mixed probability and what the map, between its two nearest steps, has for it."""
@@ -234,7 +250,7 @@ class Model:
         miss = weight * (e.bit - 1 / (1 + np.exp(-z)))
         norm = np.bincount(sets, weight, len(self.weights)) + 1
         for j in range(PREDICTORS + 1):
-            g = np.bincount(sets, miss * x[:, j], len(self.weights)) / norm
+            g = np.bincount(sets, miss * x[j], len(self.weights)) / norm
             self.steps[:, j] += g * g
             self.weights[:, j] += RATE * g / (np.sqrt(self.steps[:, j]) + 1e-6)
         gate = gates[e.word]
@@ -247,8 +263,8 @@ class Model:
     def log_probabilities(self, items: list[bytes], gates: np.ndarray) -> np.ndarray:
         """log10 of each word's probability under its gate."""
         out = np.zeros(len(items))
-        for at in range(0, len(items), 20_000):
-            some, g = items[at : at + 20_000], gates[at : at + 20_000]
+        for at in range(0, len(items), 8_000):
+            some, g = items[at : at + 8_000], gates[at : at + 8_000]
             e = Events(self.code, some, g)
             x, sets = self._inputs(e, g)
             p = self._refine(self._mix(x, sets), g[e.word])
@@ -400,8 +416,7 @@ def _count_bits(batches, code: Code, n_gates: int):
         long = weight * (total >= LEAST)[e.word]
         for i, (t, s) in enumerate(zip(tables, e.slots)):
             w = long if i < 2 else weight
-            u, inverse = np.unique(s * 2 + e.bit, return_inverse=True)
-            t[u & 1, u >> 1] += np.bincount(inverse, w, len(u))
+            np.add.at(t.reshape(-1), s + e.bit * t.shape[1], w)
     for i, t in enumerate(tables if any_words else ()):
         for b in range(0, t.shape[1], BLOCK):
             yield pa.RecordBatch.from_pydict({"predictor": [i], "block": [b // BLOCK], "counts": [pack(t[:, b : b + BLOCK].astype("<f4").tobytes())]}, schema=to_arrow_schema(SUMS))
@@ -429,8 +444,8 @@ def _add_blocks(batches):
 
 def _train(batches, shared, n_gates: int):
     """The task's weights and map after one online pass, numbered for averaging."""
-    code, gates, tables = shared.value
-    model, n = Model(code, gates, tables), 0
+    base: Model = shared.value
+    model, n = Model(base.code, base.gates, base.tables), 0
     for items, g, counts, total in _vocabulary(batches, n_gates, 1_000):
         model.learn(items, g, counts, total)
         n += int(counts.sum())
@@ -513,9 +528,10 @@ def score(docs: DataFrame, train: F.Column, key: str = "doc_id", text: str = "te
     tables = [np.zeros((2, 1 << b), np.float32) for b in SLOT_BITS]
     for r in sums.collect():  # the tables' size is fixed
         tables[r.predictor][:, r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(unpack(r.counts), "<f4").reshape(2, -1)
-    raw = spark.sparkContext.broadcast((code, gates, tables))
-    learned = own.mapInArrow(partial(_train, shared=raw, n_gates=gates.n), "i int, x double, n long").groupBy("i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x")).collect()
     model = Model(code, gates, tables)
+    raw = spark.sparkContext.broadcast(model)
+    learned = own.mapInArrow(partial(_train, shared=raw, n_gates=gates.n), "i int, x double, n long").groupBy("i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x")).collect()
+    raw.destroy()
     if learned:
         flat = np.array([r.x for r in sorted(learned, key=lambda r: r.i)])
         model.weights = flat[: model.weights.size].reshape(model.weights.shape)

@@ -331,6 +331,20 @@ def test_bits_of_a_word_sum_to_one():
     assert np.exp(logs).sum() == pytest.approx(1, abs=1e-6) and np.exp(logs[255]) == pytest.approx(first)
 
 
+def test_large_counts_stay_finite():
+    n0, n1 = np.array([0, 4e9, 0, 5], np.float32), np.array([4e9, 0, 0, 1e9], np.float32)
+    x = context_mixing.stretch(n0, n1)
+    assert np.isfinite(x).all() and x[0] == 12 and x[1] == -12 and x[2] == 0
+    code = context_mixing.Code(np.zeros(256, np.int64))
+    tables = [np.full((2, 1 << b), 0, np.float32) for b in context_mixing.SLOT_BITS]
+    for t in tables:
+        t[1] = 3e8
+    model = context_mixing.Model(code, context_mixing.Gates({}), tables)
+    for _ in range(3):
+        model.learn([b"the", b"a"], np.zeros(2, np.int64), np.array([10**8, 1]), np.array([10**8, 1]))
+    assert np.isfinite(model.weights).all() and np.isfinite(model.log_probabilities([b"the", b"x"], np.zeros(2, np.int64))).all()
+
+
 def test_gates_follow_the_text():
     g = context_mixing.Gates({b"the": 0, b"der": 1})
     assert g.runs(b"x the y the z der q der r".split()) == [(0, 2, 2), (2, 8, 0), (8, 9, 1)]
