@@ -119,39 +119,53 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 class Bucket:
-    """Documents that share a band's key, met in ascending order of their number of words."""
+    """Documents that share a band's key, met in ascending order of their number of words.
+
+    Leaders that agree by NEAR or more form a group, so a document is paired with the likeliest
+    leader of each group and not with all of them.
+    """
 
     def __init__(self):
         self.ids = np.empty(8, np.int64)
         self.n_words = np.empty(8, np.int64)
         self.mins = np.empty((8, BANDS), np.uint16)
         self.places = np.empty((8, BANDS), np.int16)
+        self.groups = np.empty(8, np.int64)
         self.n = 0
 
     def add(self, i: int, n_words: int, mins: np.ndarray, places: np.ndarray) -> tuple[list[int], bool]:
         """The leaders that are candidates for this document, and whether it becomes a leader."""
-        n, found, leads = self.n, [], True
+        n, found, leads, group = self.n, [], True, self.n
         if n:
             equal = self.mins[:n] == mins
             agree = equal.sum(1)
             # similarity 0.8 bounds the lengths' ratio and how far a common k-mer can be from its place
-            near = (agree >= 2) & (self.n_words[:n] >= THRESHOLD * n_words) & (self.ids[:n] != i)
-            near |= (agree >= 1) & (n_words < 4 * K) & (self.n_words[:n] >= THRESHOLD * n_words) & (self.ids[:n] != i)
-            for j in np.flatnonzero(near).tolist():
-                share = agree[j] / BANDS
-                if share < NEAR and n_words >= 4 * K:
+            short = n_words < 4 * K
+            near = np.flatnonzero((agree >= (1 if short else 2)) & (self.n_words[:n] >= THRESHOLD * n_words) & (self.ids[:n] != i))
+            seen: set[int] = set()
+            for j in near[np.argsort(-agree[near], kind="stable")].tolist():
+                share, own_group = agree[j] / BANDS, int(self.groups[j])
+                if own_group in seen:
+                    continue
+                if share < NEAR and not short:
                     own, other = places[equal[j]], self.places[j][equal[j]]
                     if np.abs(own - other).min() > 255 * (1 - THRESHOLD) + 8 or np.ptp(own) < 70:
                         continue  # what they share is far off its place, or one passage
                 found.append(int(self.ids[j]))
+                seen.add(own_group)
                 if share >= FOLLOW:
                     leads = False
+                if share >= NEAR:  # groups that this document links are one from now on
+                    if group == n:
+                        group = own_group
+                    else:
+                        self.groups[:n][self.groups[:n] == own_group] = group
         if leads:
             if n == len(self.ids):
-                for name in ("ids", "n_words", "mins", "places"):
+                for name in ("ids", "n_words", "mins", "places", "groups"):
                     old = getattr(self, name)
                     setattr(self, name, np.concatenate([old, np.empty_like(old)]))
-            self.ids[n], self.n_words[n], self.mins[n], self.places[n] = i, n_words, mins, places
+            self.ids[n], self.n_words[n], self.mins[n], self.places[n], self.groups[n] = i, n_words, mins, places, group
             self.n += 1
         return found, leads
 
