@@ -8,9 +8,10 @@ that their edit similarity, 1 - distance / words of the longer, is THRESHOLD at
 
 A group of thousands of copies never becomes all its pairs. Equal word sequences are one node from
 the start; in a bucket, documents whose sketches agree widely follow a leader, first within each
-task and then across tasks, and only pairs with a leader are verified. Documents that agree
-less are compared with every leader of their bucket and lead themselves. Links become classes by
-repeated joins; nothing of the size of the corpus comes to the driver.
+task and then across tasks, and only pairs with a leader are verified. That choice goes by the
+sketches and is a guess. Where an alignment refutes it, the buckets that hold the refuted pair
+are opened: in them all candidates whose classes still differ are verified, whoever led them.
+Links become classes by repeated joins; nothing of the size of the corpus comes to the driver.
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ _ROLL = _rng.integers(0, 2**62, K + 1, dtype=np.uint64) * np.uint64(2) + np.uint
 SKETCH = common.fields("doc_id long, k1 long, k2 long, n_words int, bands longs, mins binary, places binary, words binary")
 BUCKET = common.fields("key long, a long, b long, n_words int, mins binary, places binary")
 PAIR = common.fields("a long, b long")
+OPEN = common.fields("key long, a long, n_words int, mins binary, places binary, label long")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -245,6 +247,57 @@ def _group_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=arrow)
 
 
+def candidates(at: int, n_words: np.ndarray, mins: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which of the documents before `at`, of as many words or fewer, are its candidates: what Bucket asks of a leader."""
+    equal = mins[:at] == mins[at]
+    agree = equal.sum(1)
+    short = n_words[at] < 4 * K
+    near = np.flatnonzero((agree >= (1 if short else 2)) & (n_words[:at] >= THRESHOLD * n_words[at]))
+    if short or not len(near):
+        return near
+    equal = equal[near]
+    off = np.where(equal, np.abs(places[near] - places[at]), 999).min(1)
+    spread = np.where(equal, places[at], -1).max(1) - np.where(equal, places[at], 999).min(1)
+    return near[(agree[near] >= NEAR * BANDS) | ((off <= 255 * (1 - THRESHOLD) + 8) & (spread >= 70))]
+
+
+def _open_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From OPEN rows sorted by key and n_words: all candidates whose classes so far differ. A bucket may span batches."""
+    arrow = to_arrow_schema(PAIR)
+    last, kept = None, []
+
+    def pairs(rows: list[tuple], new: int) -> Iterator[pa.RecordBatch]:
+        """Of the rows from `new` on with all rows before them."""
+        ids, n_words, labels = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 4))
+        mins, places = _arrays([r[2] for r in rows], [r[3] for r in rows])
+        found, size = [], 0
+        for at in range(max(new, 1), len(rows)):
+            differ = np.flatnonzero(labels[:at] != labels[at])
+            if len(differ):
+                some = np.append(differ, at)
+                j = differ[candidates(len(differ), n_words[some], mins[some], places[some])]
+                found.append(np.column_stack([ids[j], np.full(len(j), ids[at])]))
+                size += len(j)
+            if size > 100_000 or (found and at == len(rows) - 1):
+                a, b = np.concatenate(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=arrow)
+                found, size = [], 0
+
+    for batch in batches:
+        rows = list(zip(*(batch.column(i).to_pylist() for i in range(6))))
+        start = 0
+        while start < len(rows):
+            end = start
+            while end < len(rows) and rows[end][0] == rows[start][0]:
+                end += 1
+            if rows[start][0] != last:
+                last, kept = rows[start][0], []
+            new = len(kept)
+            kept += [r[1:] for r in rows[start:end]]
+            yield from pairs(kept, new)
+            start = end
+
+
 def distance(a: list, b: list, band: int) -> int:
     """The edit distance of two sequences along paths within `band` of the diagonal: exact if it is band at most.
 
@@ -328,6 +381,30 @@ def only(df: DataFrame, ids: DataFrame, n_ids: int, how: str = "left_semi") -> D
     return df.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, "doc_id", how)
 
 
+def aligned(known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the written pairs whose alignment reaches THRESHOLD, written."""
+    ids = common.written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+    own = only(known.select("doc_id", "words"), ids, ids.count()).dropDuplicates(["doc_id"])
+    sides = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("words").alias("wa")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("words").alias("wb")), "b")
+    return common.written(sides.select("a", "b", "wa", "wb").mapInArrow(_verify, PAIR), "aligned")
+
+
+def open_pairs(nodes: DataFrame, pairs: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
+    """What the choice of leaders left out wrongly: candidates with different labels, in the buckets that hold a pair whose alignment failed.
+
+    In a bucket all of whose pairs were confirmed, whoever was not paired is linked through those who were.
+    """
+    failed = pairs.join(links, ["a", "b"], "left_anti")
+    bands = nodes.select("doc_id", "bands")
+    both = failed.join(bands.select(F.col("doc_id").alias("a"), F.col("bands").alias("x")), "a").join(bands.select(F.col("doc_id").alias("b"), F.col("bands").alias("y")), "b")
+    keys = common.written(both.select(F.explode(F.array_intersect("x", "y")).alias("key")).distinct(), "keys")
+    few = keys.count() <= BROADCAST_IDS
+    rows = nodes.select(F.explode("bands").alias("key"), "doc_id", "n_words", "mins", "places").join(F.broadcast(keys) if few else keys, "key", "left_semi")
+    rows = rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", F.col("doc_id").alias("a"), "n_words", "mins", "places", F.coalesce("label", "doc_id").alias("label"))
+    found = rows.repartition("key").sortWithinPartitions("key", "n_words", "a").mapInArrow(_open_buckets, PAIR).distinct()
+    return common.written(found.join(failed, ["a", "b"], "left_anti"), "open")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): for each node of links (a, b) the smallest node it is connected with.
 
@@ -365,10 +442,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = nodes.select("doc_id", "n_words", "bands", "mins", "places").mapInArrow(_group_in_task, BUCKET)
     pairs = rows.repartition("key").sortWithinPartitions("key", "n_words", "a").mapInArrow(_group_buckets, PAIR)
     pairs = common.written(pairs.where("a != b").distinct(), "pairs")
-    ids = common.written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    own = only(known.select("doc_id", "words"), ids, ids.count()).dropDuplicates(["doc_id"])
-    sides = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("words").alias("wa")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("words").alias("wb")), "b")
-    labels = components(sides.select("a", "b", "wa", "wb").mapInArrow(_verify, PAIR))
+    links = aligned(known, pairs)
+    labels = components(links)
+    more = aligned(known, open_pairs(nodes, pairs, links, labels))
+    # classes that these link are joined as nodes of their own
+    of = lambda end: more.join(labels.withColumnRenamed("node", end), end, "left").select("a", "b", F.coalesce("label", end).alias("l"))
+    joined = of("a").join(of("b").withColumnRenamed("l", "m"), ["a", "b"]).select(F.col("l").alias("a"), F.col("m").alias("b")).distinct()
+    wider = components(joined).select(F.col("node").alias("label"), F.col("label").alias("wider"))
+    old = nodes.select(F.col("doc_id").alias("node")).join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    labels = old.join(wider, "label", "left").select("node", F.coalesce("wider", "label").alias("label"))
     classes = nodes.select("k1", "k2", F.col("doc_id").alias("node")).join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("class_id"))
     return all_docs.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 

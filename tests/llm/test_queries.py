@@ -142,6 +142,21 @@ def test_op3_odd_and_large_groups(spark, odd, nothing):
     assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 2, 3, 4, 5]
 
 
+def test_op3_near_copies_in_families_with_a_shared_passage(spark):
+    """What sketches take for a group is one only if alignments say so."""
+    shared = [f"s{i}" for i in range(150)]
+    shared = [f"s{i}" for i in range(300)]
+    rows = []
+    for f in range(30):  # pairs of copies, alike by 0.95; different pairs are alike by 0.78 alone
+        own = [f"a{f}x{i}" for i in range(85)]
+        near = [f"b{f}x{i}" if i % 5 == 2 else w for i, w in enumerate(own)]  # their own parts share no run of five words
+        rows += [(2 * f, " ".join([*shared, *own])), (2 * f + 1, " ".join([*shared, *near]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in (1, 5):
+        got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs.repartition(n)).collect()}
+        assert got == {i: i - i % 2 for i in range(60)}
+
+
 def test_components_of_chains(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(30)] + [(100, 101)], "a long, b long")
     got = {r.node: r.label for r in order_minhash.components(links).collect()}
