@@ -250,6 +250,12 @@ def svm_sparse_rows(s, d):
     return svm.sparse_dot(long, long).select("a_id", "b_id", F.round("dot", 6).alias("dot"))
 
 
+def svm_sparse_all(s, d):
+    """The products of svm_sparse_rows for all pairs of rows: its SQL covers ids below 20. The result grows with the square of the rows."""
+    long = inputs.points(s, d).select("id", F.posexplode("features").alias("idx", "val")).where("abs(val) > 0.1").select("id", "idx", F.col("val").cast("double").alias("val"))
+    return svm.sparse_dot(long, long).select("a_id", "b_id", F.round("dot", 6).alias("dot"))
+
+
 def _forward(activation):
     def query(s, d):
         return autoencoder.predict(inputs.pairs_of_numbers(s, d).select("id", "x0", "x1"), PARAMETERS, activation=activation).select("id", F.round("o0", 6).alias("o0"), F.round("o1", 6).alias("o1"))
@@ -338,7 +344,7 @@ QUERIES = {
     "kmeans_distance": kmeans_distance, "kmeans_assign": kmeans_assign, "kmeans_step": kmeans_step, "kmeans_update": kmeans_update,
     "kmeans_two_more": kmeans_two_more, "kmeans_fit": kmeans_fit, "kmeans_sizes": kmeans_sizes, "kmeans_total": kmeans_total,
     "rbf_kernel": rbf_kernel, "svm_first_step": svm_first_step, "svm_violating_pair": svm_violating_pair, "svm_train": svm_train,
-    "svm_conditions": svm_conditions, "svm_decision": svm_decision, "svm_sparse_rows": svm_sparse_rows,
+    "svm_conditions": svm_conditions, "svm_decision": svm_decision, "svm_sparse_rows": svm_sparse_rows, "svm_sparse_all": svm_sparse_all,
     **{f"ae_forward_{a}": _forward(a) for a in ("linear", "elliott", "tanh", "logistic")},
     "ae_loss": ae_loss, "ae_loss_sharded": ae_loss_sharded, "ae_predict": ae_predict, "ae_fit_linear": _fit(True), "ae_fit_elliott": _fit(False),
     "xor_forward": xor_forward, "xor_loss": xor_loss, "gen_xor": gen_xor,

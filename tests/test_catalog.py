@@ -1,6 +1,7 @@
 """Every query of the catalogue against its SQL."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from lumenframe.plans import catalog, oracles
@@ -41,6 +42,19 @@ def test_the_rest_has_rows(spark, sf):
     assert all(-1e-9 <= r.alpha <= 1 + 1e-9 for r in a) and abs(sum(r.alpha * r.y for r in a)) < 0.05
 
 
+def test_sparse_products_cover_all_rows(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    x = np.array([r.embedding for r in rows], np.float32).astype(np.float64)
+    x[np.abs(x) <= 0.1] = 0
+    want = x @ x.T
+    common = (x != 0).astype(int) @ (x != 0).astype(int).T
+    at = {r.vec_id: i for i, r in enumerate(rows)}
+    got = catalog.QUERIES["svm_sparse_all"](spark, sf).collect()
+    i, j = np.array([(at[r.a_id], at[r.b_id]) for r in got]).T
+    assert len(got) == (common > 0).sum() and (common[i, j] > 0).all() and len(set(zip(i, j))) == len(got)
+    assert np.abs(np.array([r.dot for r in got]) - want[i, j]).max() < 1e-6
+
+
 def test_entry(spark):
     import __spark_entry__
 
