@@ -36,6 +36,19 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df if len(kept) == len(df.columns) else df.select(*[F.col(f"`{c}`") for c in kept])
 
 
+def unlike(name: str, others: list[str]) -> str:
+    """name, with underscores before it until it is none of the others, whatever their case."""
+    low = {x.lower() for x in others}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, or one like it that no column of df has."""
+    return unlike(name, df.columns)
+
+
 def add_columns(df: DataFrame, text: str, fields: T.StructType, make: Callable[[], Callable[[list], dict[str, list]]], drop: tuple[str, ...] = ()) -> DataFrame:
     """df with columns computed from its text column, in one pass and without a shuffle.
 
@@ -92,13 +105,6 @@ def bounded_sample(df: DataFrame, stratum: str, order: str, most: int) -> DataFr
     return near.withColumn("_n", F.row_number().over(Window.partitionBy(stratum).orderBy("_h", order))).where(F.col("_n") <= most).drop("_n", "_h")
 
 
-def window(text: str, most: int) -> F.Column:
-    """At most so many characters of a text, from a place that its checksum picks: for bounded training samples."""
-    n = F.length(text)
-    at = F.when(n > most, F.crc32(F.col(text).cast("binary")) % (n - most + 1)).otherwise(0)
-    return F.substring(text, (at + 1).cast("int"), F.lit(most))
-
-
 def remainder(column: str, n: int) -> F.Column:
     """crc32 of an id as text, modulo n; null ids have the remainder of the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

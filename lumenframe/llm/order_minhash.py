@@ -1,23 +1,29 @@
 """Near-duplicate documents by Order MinHash and banded alignment.
 
-A document is a sequence of lower-cased words. Its k-mers are runs of five words, labelled with
-their occurrence number, so repetition counts. Each of BANDS random orders picks the two smallest
+A document is a sequence of lower-cased words. Its k-mers are runs of K words, labelled with
+their occurrence number, so repetition counts. Each of many random orders picks the two smallest
 k-mers of a document; kept in the order in which they stand in the text, they are a band's
 key. Documents that share a key are candidates, and a banded alignment of their words verifies
-that their edit similarity, 1 - distance / words of the longer, is THRESHOLD at least.
+that their edit similarity, 1 - distance / words of the longer, is THRESHOLD at least. Texts of
+fewer than LONG_WORDS words have too few runs of K words that survive scattered edits and take
+runs of SHORT_K; those of fewer than FEW_WORDS share one of a few segments at nearly the same
+place with every text that is alike, which makes the search for them exact.
 
 A group of thousands of copies never becomes all its pairs. Equal word sequences are one node from
-the start; in a bucket, documents whose sketches agree widely follow a leader, first within each
-task and then across tasks, and only pairs with a leader are verified. That choice goes by the
-sketches and is a guess. Where an alignment refutes it, the buckets that hold the refuted pair
-are opened: in them all candidates whose classes still differ are verified, whoever led them.
-Links become classes by repeated joins; nothing of the size of the corpus comes to the driver.
+the start. Within a batch, neighbours in the buckets (by number of words) are aligned on the
+spot until the batch's groups hang together, and a group sends one row for each key on to the
+other batches, where neighbours are aligned likewise. Links become classes by repeated joins.
+Buckets that then hold more than one class are opened: first each document there is aligned with
+the likeliest document of another class, then all pairs of different classes that a lower bound
+of their distance does not rule out. So every pair that shares a key ends in one class, or was
+aligned and refuted, or is ruled out by the bound. Nothing of the size of the corpus comes to the driver.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,22 +35,27 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from . import common
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-K, BANDS, PER_BAND = 5, 16, 2
 THRESHOLD = 0.8
-#: Share of equal minima from which a document follows its leader, and from which a pair is a candidate whose matches need not be spread out.
-FOLLOW, NEAR = 0.55, 0.4
-#: Ids of 8 bytes that are broadcast at most; beyond that the join shuffles.
-BROADCAST_IDS = 4_000_000
+#: Words of a k-mer and number of orders: for texts of LONG_WORDS words or more, and for shorter ones.
+K, BANDS = 5, 72
+SHORT_K, SHORT_BANDS = 3, 32
+LONG_WORDS, FEW_WORDS = 120, 20
+#: Bins of the histogram of a document's words.
+BINS = 128
+#: Rows of three numbers that are broadcast at most; beyond that the join shuffles.
+BROADCAST_ROWS = 2_000_000
+#: Rows of a cell of an open bucket; larger buckets are cut into blocks, and each two blocks meet in a cell.
+CELL = 2048
 
 _rng = np.random.default_rng(20240229)
 _SEEDS = _rng.integers(0, 2**63, BANDS, dtype=np.uint64)[:, None]
 _ODD = (_rng.integers(0, 2**62, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
-_ROLL = _rng.integers(0, 2**62, K + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ROLL = _rng.integers(0, 2**62, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-SKETCH = common.fields("doc_id long, k1 long, k2 long, n_words int, bands longs, mins binary, places binary, words binary")
-BUCKET = common.fields("key long, a long, b long, n_words int, mins binary, places binary")
+SKETCH = common.fields("row long, doc_id long, k1 long, k2 long, n_words int, hist binary, words binary")
+LOCAL = common.fields("key long, node long, rep long, n_words int, lead boolean")
+GLOBAL = common.fields("key long, a long, b long")
 PAIR = common.fields("a long, b long")
-OPEN = common.fields("key long, a long, n_words int, mins binary, places binary, label long")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,249 +64,129 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Hashes(dict):
+    """32-bit hashes of words; the most that a task remembers bounds its memory."""
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = self[word] = xxhash.xxh32_intdigest(word)
         return h
 
 
-_hashes = _Hashes()
-
-
 def words(text: str | None) -> list[bytes]:
     return WORD.findall(text.encode("utf-8", "replace").lower()) if text else []
 
 
-def kmers(h: np.ndarray) -> np.ndarray:
-    """Hashes of the occurrence-labelled k-mers; fewer than K words are one k-mer."""
-    n = len(h)
-    if n < K:
-        return mix((h * _ROLL[:n]).sum(keepdims=True, dtype=np.uint64) + np.uint64(n))
-    g = h[: n - K + 1] * _ROLL[0]
-    for j in range(1, K):
-        g = g + h[j : n - K + 1 + j] * _ROLL[j]
+def most_edits(n_words: int) -> int:
+    """The largest distance of a text of so many words, the longer of two, to one that is alike."""
+    return int((1 - THRESHOLD) * n_words + 1e-9)
+
+
+def kmers(h: np.ndarray, k: int = K) -> np.ndarray:
+    """Hashes of the occurrence-labelled k-mers; fewer than k words are one k-mer."""
+    k = min(k, len(h))
+    n = len(h) - k + 1
+    g = h[:n] * _ROLL[0]
+    for j in range(1, k):
+        g = g + h[j : n + j] * _ROLL[j]
     g = mix(g)
     u, inverse, counts = np.unique(g, return_inverse=True, return_counts=True)
-    if len(u) < len(g):
+    if len(u) < n:
         order = np.argsort(inverse, kind="stable")
-        label = np.empty(len(g), np.uint64)
-        label[order] = np.arange(len(g)) - np.repeat(np.cumsum(counts) - counts, counts)
+        label = np.empty(n, np.uint64)
+        label[order] = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
         again = label > 0  # first occurrences keep the hash that they have in texts without repetition
-        g[again] = mix(g[again] + label[again] * _ROLL[K])
+        g[again] = mix(g[again] + label[again] * _ROLL[7])
     return g
 
 
-def sketch(text: str | None) -> tuple | None:
-    """k1, k2 (hash of the word sequence), words, band keys, minima, their places, words as 24-bit hashes; None without words."""
-    w = words(text)
-    n = len(w)
-    if not n:
-        return None
-    whole = xxhash.xxh3_128_digest(b" ".join(w))
-    h = np.fromiter(map(_hashes.__getitem__, w), np.uint64, n)
-    g = kmers(h)
-    first, second = np.empty(BANDS, np.int64), np.empty(BANDS, np.int64)
-    for at in range(0, BANDS, step := max(1, min(BANDS, 4_000_000 // len(g)))):  # a long text is done order by order
-        v = (g ^ _SEEDS[at : at + step]) * _ODD[at : at + step]
-        v ^= v >> np.uint64(32)
+def band_keys(g: np.ndarray, bands: int) -> np.ndarray:
+    """A key for each order: its two smallest k-mers, in the order of the text."""
+    first, second = np.empty(bands, np.int64), np.empty(bands, np.int64)
+    for at in range(0, bands, step := max(1, min(bands, 60_000 // len(g)))):  # of a size that stays in the cache
+        v = (g ^ _SEEDS[at : min(bands, at + step)]) * _ODD[at : min(bands, at + step)]
         i = v.argmin(1)
         first[at : at + step] = i
         v[np.arange(len(v)), i] = np.uint64(2**64 - 1)
         second[at : at + step] = v.argmin(1) if len(g) > 1 else i
-    keys = mix(mix(g[np.minimum(first, second)] + _SEEDS[:, 0]) + g[np.maximum(first, second)] * np.uint64(3)).view(np.int64)
-    packed = (h & np.uint64(0xFFFFFF)).astype("<u4").view(np.uint8).reshape(n, 4)[:, :3].tobytes()
-    return (*np.frombuffer(whole, "<i8").tolist(), n, keys.tolist(), (g[first] >> np.uint64(20)).astype("<u2").tobytes(), (first * 255 // len(g)).astype(np.uint8).tobytes(), packed)
+    return mix(mix(g[np.minimum(first, second)] + _SEEDS[:bands, 0]) + g[np.maximum(first, second)] * np.uint64(3))
 
 
-def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
-    arrow = to_arrow_schema(SKETCH)
+@lru_cache(64)
+def segment_plan(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, lengths and salts of the segments that a text of n words has keys for.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in common.slices(batch, 1):
-                rows = [(k, *(sketch(t) or (None, None, 0, None, None, None, None))) for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
-
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, SKETCH)
-
-
-class Bucket:
-    """Documents that share a band's key, met in ascending order of their number of words.
-
-    Leaders that agree by NEAR or more form a group, so a document is paired with the likeliest
-    leader of each group and not with all of them.
+    Two texts of l <= m words, l < FEW_WORDS, within the distance t = most_edits(m): of t + 1
+    segments of the shorter one, one stands unchanged in the longer one, moved by no more than the edits
+    before and after it allow (the bounds of partition-based similarity joins).
     """
-
-    def __init__(self):
-        self.ids = np.empty(8, np.int64)
-        self.n_words = np.empty(8, np.int64)
-        self.mins = np.empty((8, BANDS), np.uint16)
-        self.places = np.empty((8, BANDS), np.int16)
-        self.groups = np.empty(8, np.int64)
-        self.n = 0
-
-    def add(self, i: int, n_words: int, mins: np.ndarray, places: np.ndarray) -> tuple[list[int], bool]:
-        """The leaders that are candidates for this document, and whether it becomes a leader."""
-        n, found, leads, group = self.n, [], True, self.n
-        if n:
-            equal = self.mins[:n] == mins
-            agree = equal.sum(1)
-            # similarity 0.8 bounds the lengths' ratio and how far a common k-mer can be from its place
-            short = n_words < 4 * K
-            near = np.flatnonzero((agree >= (1 if short else 2)) & (self.n_words[:n] >= THRESHOLD * n_words) & (self.ids[:n] != i))
-            seen: set[int] = set()
-            for j in near[np.argsort(-agree[near], kind="stable")].tolist():
-                share, own_group = agree[j] / BANDS, int(self.groups[j])
-                if own_group in seen:
-                    continue
-                if share < NEAR and not short:
-                    own, other = places[equal[j]], self.places[j][equal[j]]
-                    if np.abs(own - other).min() > 255 * (1 - THRESHOLD) + 8 or np.ptp(own) < 70:
-                        continue  # what they share is far off its place, or one passage
-                found.append(int(self.ids[j]))
-                seen.add(own_group)
-                if share >= FOLLOW:
-                    leads = False
-                if share >= NEAR:  # groups that this document links are one from now on
-                    if group == n:
-                        group = own_group
-                    else:
-                        self.groups[:n][self.groups[:n] == own_group] = group
-        if leads:
-            if n == len(self.ids):
-                for name in ("ids", "n_words", "mins", "places", "groups"):
-                    old = getattr(self, name)
-                    setattr(self, name, np.concatenate([old, np.empty_like(old)]))
-            self.ids[n], self.n_words[n], self.mins[n], self.places[n], self.groups[n] = i, n_words, mins, places, group
-            self.n += 1
-        return found, leads
-
-
-def _arrays(mins: list[bytes], places: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(mins), "<u2").reshape(-1, BANDS), np.frombuffer(b"".join(places), np.uint8).reshape(-1, BANDS).astype(np.int16)
-
-
-def _group_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (id, n_words, bands, mins, places): followers within a batch become pairs, the others go on to the buckets."""
-    arrow = to_arrow_schema(BUCKET)
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        ids, n_words = (batch.column(i).to_numpy() for i in range(2))
-        keys = batch.column(2).flatten().to_numpy()
-        raw_mins, raw_places = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-        mins, places = _arrays(raw_mins, raw_places)
-        row = np.repeat(np.arange(n), BANDS)
-        order = np.lexsort((ids[row], n_words[row], keys))
-        keys, row = keys[order], row[order]
-        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        sizes = np.diff(np.append(starts, len(keys)))
-        leads = np.ones(len(keys), bool)
-        pairs: set[tuple[int, int]] = set()
-        for s, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
-            bucket = Bucket()
-            for at in range(s, s + size):
-                r = row[at]
-                found, leads[at] = bucket.add(int(ids[r]), int(n_words[r]), mins[r], places[r])
-                pairs.update((j, int(ids[r])) for j in found)
-        for at in range(0, len(keys), 100_000):
-            some = np.flatnonzero(leads[at : at + 100_000]) + at
-            r = row[some]
-            own = r.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(ids[r]), pa.nulls(len(r), pa.int64()), pa.array(n_words[r].astype(np.int32)), pa.array([raw_mins[i] for i in own], pa.binary()), pa.array([raw_places[i] for i in own], pa.binary())], schema=arrow)
-        if pairs:
-            a, b = np.array(sorted(pairs), np.int64).T
-            m = len(a)
-            yield pa.RecordBatch.from_arrays([pa.array(mix(a.view(np.uint64)).view(np.int64)), pa.array(a), pa.array(b), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], schema=arrow)
+    found: set[tuple[int, int, int]] = set()
+
+    def parts(length: int, t: int):
+        at = 0
+        for i in range(t + 1):
+            size = length // (t + 1) + (i >= t + 1 - length % (t + 1))
+            yield i, at, size, (length * 32 + t) * 32 + i
+            at += size
+
+    for m in range(n, n + n // 4 + 2):  # as the shorter one
+        t = most_edits(m)
+        if t and m - n <= t and n < FEW_WORDS:
+            found.update((at, size, salt) for _, at, size, salt in parts(n, t))
+    t = most_edits(n)
+    for length in range(max(t + 1, n - t), min(n, FEW_WORDS - 1) + 1) if t else ():  # as the longer one
+        off = n - length
+        for i, at, size, salt in parts(length, t):
+            low, high = max(0, at - i, at + off - (t - i)), min(n - size, at + i, at + off + t - i)
+            found.update((start, size, salt) for start in range(low, high + 1))
+    rows = np.array(sorted(found), np.int64).reshape(-1, 3)
+    return rows[:, 0], rows[:, 1], rows[:, 2].astype(np.uint64)
+
+
+def keys_of(h: np.ndarray) -> np.ndarray:
+    """All keys under which a document is looked for, from the 32-bit hashes of its words. Alike texts share the kind of their keys, as a kind reaches beyond its limit."""
+    n, h = len(h), mix(h.astype(np.uint64) + np.uint64(1))
+    out = [np.empty(0, np.uint64)]
+    if n < FEW_WORDS / THRESHOLD:
+        start, size, salt = segment_plan(n)
+        if len(start):
+            span = np.arange(int(size.max()))
+            own = np.concatenate([h, np.zeros(len(span), np.uint64)])[start[:, None] + span] * _ROLL[: len(span)]
+            own[span >= size[:, None]] = 0
+            out.append(mix(own.sum(1, dtype=np.uint64) + salt * _ROLL[6]))
+    if n >= FEW_WORDS and n < LONG_WORDS / THRESHOLD:
+        out.append(band_keys(kmers(h, SHORT_K), SHORT_BANDS) + np.uint64(SHORT_K))
+    if n >= LONG_WORDS:
+        out.append(band_keys(kmers(h, K), BANDS) + np.uint64(K))
+    return np.unique(np.concatenate(out)).view(np.int64)
+
+
+def histogram(h: np.ndarray) -> np.ndarray:
+    """How often words fall in each bin, 255 at most. An edit changes two bins by one each at most, so half the difference of two histograms bounds the distance from below."""
+    return np.minimum(np.bincount(h & np.uint32(BINS - 1), minlength=BINS), 255).astype(np.uint8)
+
+
+def sketch(text: str | None, hashes: dict) -> tuple:
+    """k1, k2 (a hash of the words), n_words, hist and the words' hashes; nulls without words."""
+    w = words(text)
+    if not w:
+        return None, None, 0, None, None
+    h = np.fromiter(map(hashes.__getitem__, w), np.uint32, len(w))
+    return *np.frombuffer(xxhash.xxh3_128_digest(b" ".join(w)), "<i8").tolist(), len(w), histogram(h).tobytes(), h.astype("<u4").tobytes()
 
 
-def _group_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From BUCKET rows sorted by key and n_words: pairs. Pairs found before pass through. A bucket may span batches; its leaders alone are kept."""
-    arrow = to_arrow_schema(PAIR)
-    last, bucket, first = None, None, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        done = batch.column(2).is_valid()
-        out = [np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.filter(done).columns[1:3]])] if batch.column(2).null_count < batch.num_rows else []
-        rest = batch.filter(batch.column(2).is_null())
-        if rest.num_rows:
-            keys, ids, n_words = rest.column(0).to_numpy(), rest.column(1).to_numpy(), rest.column(3).to_numpy()
-            mins, places = _arrays(rest.column(4).to_pylist(), rest.column(5).to_pylist())
-            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            ends = np.append(starts[1:], len(keys))
-            found_pairs: list[tuple[int, int]] = []
-            for s, e in zip(starts.tolist(), ends.tolist()):
-                if last is not None and keys[s] == last:
-                    if bucket is None:  # the one row before this batch
-                        bucket = Bucket()
-                        bucket.add(*first)
-                elif e - s == 1:
-                    last, bucket, first = keys[s], None, (int(ids[s]), int(n_words[s]), mins[s].copy(), places[s].copy())
-                    continue
-                else:
-                    last, bucket = keys[s], Bucket()
-                for at in range(s, e):
-                    found, _ = bucket.add(int(ids[at]), int(n_words[at]), mins[at], places[at])
-                    found_pairs += [(j, int(ids[at])) for j in found]
-            if found_pairs:
-                out.append(np.array(found_pairs, np.int64))
-        if out:
-            a, b = np.unique(np.concatenate(out), axis=0).T
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=arrow)
-
-
-def candidates(at: int, n_words: np.ndarray, mins: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Which of the documents before `at`, of as many words or fewer, are its candidates: what Bucket asks of a leader."""
-    equal = mins[:at] == mins[at]
-    agree = equal.sum(1)
-    short = n_words[at] < 4 * K
-    near = np.flatnonzero((agree >= (1 if short else 2)) & (n_words[:at] >= THRESHOLD * n_words[at]))
-    if short or not len(near):
-        return near
-    equal = equal[near]
-    off = np.where(equal, np.abs(places[near] - places[at]), 999).min(1)
-    spread = np.where(equal, places[at], -1).max(1) - np.where(equal, places[at], 999).min(1)
-    return near[(agree[near] >= NEAR * BANDS) | ((off <= 255 * (1 - THRESHOLD) + 8) & (spread >= 70))]
-
-
-def _open_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From OPEN rows sorted by key and n_words: all candidates whose classes so far differ. A bucket may span batches."""
-    arrow = to_arrow_schema(PAIR)
-    last, kept = None, []
+def sketches(docs: DataFrame, row: str, key: str, text: str) -> DataFrame:
+    """The fields of SKETCH."""
+    arrow = to_arrow_schema(SKETCH)
 
-    def pairs(rows: list[tuple], new: int) -> Iterator[pa.RecordBatch]:
-        """Of the rows from `new` on with all rows before them."""
-        ids, n_words, labels = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 4))
-        mins, places = _arrays([r[2] for r in rows], [r[3] for r in rows])
-        found, size = [], 0
-        for at in range(max(new, 1), len(rows)):
-            differ = np.flatnonzero(labels[:at] != labels[at])
-            if len(differ):
-                some = np.append(differ, at)
-                j = differ[candidates(len(differ), n_words[some], mins[some], places[some])]
-                found.append(np.column_stack([ids[j], np.full(len(j), ids[at])]))
-                size += len(j)
-            if size > 100_000 or (found and at == len(rows) - 1):
-                a, b = np.concatenate(found).T
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=arrow)
-                found, size = [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()  # of the task: reused workers keep nothing
+        for batch in batches:
+            for part in common.slices(batch, 2):
+                rows = [(r, k, *sketch(t, hashes)) for r, k, t in zip(*(part.column(i).to_pylist() for i in range(3)))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
-    for batch in batches:
-        rows = list(zip(*(batch.column(i).to_pylist() for i in range(6))))
-        start = 0
-        while start < len(rows):
-            end = start
-            while end < len(rows) and rows[end][0] == rows[start][0]:
-                end += 1
-            if rows[start][0] != last:
-                last, kept = rows[start][0], []
-            new = len(kept)
-            kept += [r[1:] for r in rows[start:end]]
-            yield from pairs(kept, new)
-            start = end
+    return docs.select(F.col(row), F.col(key).cast("long"), F.col(text)).mapInArrow(run, SKETCH)
 
 
 def distance(a: list, b: list, band: int) -> int:
@@ -362,56 +253,159 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = THRESHOLD) -> float:
         band *= 4
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    x = np.zeros((len(raw) // 3, 4), np.uint8)
-    x[:, :3] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
-    return x.view("<u4").reshape(-1)
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two word sequences' edit similarity is THRESHOLD or more."""
+    if len(a) == len(b) and np.count_nonzero(a != b) <= most_edits(len(a)):
+        return True
+    return similarity(a, b) >= THRESHOLD
+
+
+class _Sets:
+    """Disjoint sets of the places 0 .. n - 1; a set's root is its smallest place."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+
+
+def _group_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (row, n_words, hist, words): rows of LOCAL, one for each key of each document. rep: the smallest row of the document's group in the batch; lead: the first of its group under this key."""
+    arrow = to_arrow_schema(LOCAL)
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        batch = batch.take(np.argsort(batch.column(0).to_numpy(), kind="stable"))
+        rows, n_words = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+        hist = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(n, BINS).astype(np.int16)
+        own = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(3)]
+        keys = [keys_of(h) for h in own]
+        at = np.repeat(np.arange(n), [len(k) for k in keys])
+        keys = np.concatenate(keys)
+        order = np.lexsort((at, n_words[at], keys))
+        keys, at = keys[order], at[order]
+        # neighbours in a bucket, those that meet in most buckets first
+        next_to = np.flatnonzero((keys[1:] == keys[:-1]) & (n_words[at[:-1]] >= THRESHOLD * n_words[at[1:]]))
+        pairs, often = np.unique(at[next_to] * n + at[next_to + 1], return_counts=True)
+        pairs = pairs[np.argsort(-often, kind="stable")]
+        x, y = pairs // n, pairs % n
+        sets = _Sets(n)
+        for s in range(0, len(x), 50_000):
+            some = slice(s, s + 50_000)
+            near = np.abs(hist[x[some]] - hist[y[some]]).sum(1) <= 2 * ((1 - THRESHOLD) * n_words[y[some]] + 1e-9)
+            for i, j in zip(x[some][near].tolist(), y[some][near].tolist()):
+                if sets.root(i) != sets.root(j) and alike(own[i], own[j]):
+                    sets.join(i, j)
+        root = np.fromiter(map(sets.root, range(n)), np.int64, n)
+        order = np.lexsort((root[at], keys))  # stable: the shortest of a group stays the first under a key
+        keys, at = keys[order], at[order]
+        lead = np.ones(len(keys), bool)
+        lead[1:] = (keys[1:] != keys[:-1]) | (root[at[1:]] != root[at[:-1]])
+        for s in range(0, len(keys), 100_000):
+            i = at[s : s + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[s : s + 100_000]), pa.array(rows[i]), pa.array(rows[root[i]]), pa.array(n_words[i].astype(np.int32)), pa.array(lead[s : s + 100_000])], schema=arrow)
+        # a document without keys (of fewer words than any other could be alike) is in no group
+
+
+def _group_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (key, node, rep, n_words) sorted by key, n_words and node: neighbours of a bucket as (null, a, b), and (key, rep, null) for each row of a bucket of several."""
+    arrow = to_arrow_schema(GLOBAL)
+    left = np.zeros((4, 0), np.int64)  # the last row so far, as what follows is not known
+    before = False  # whether it shares its key with the row before
+
+    def shared(x: np.ndarray, some: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x[0][some]), pa.array(x[2][some]), pa.nulls(int(some.sum()), pa.int64())], schema=arrow)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = np.concatenate([left, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])], axis=1)
+        same = x[0, 1:] == x[0, :-1]
+        some = np.concatenate([[before], same])
+        some[:-1] |= same
+        yield shared(x[:, :-1], some[:-1])
+        pair = np.flatnonzero(same & (x[2, 1:] != x[2, :-1]) & (x[3, :-1] >= THRESHOLD * x[3, 1:]))
+        a, b = np.unique(np.sort(np.stack([x[1, pair], x[1, pair + 1]]), axis=0), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], schema=arrow)
+        left, before = x[:, -1:], bool(same[-1]) if len(same) else before
+    if left.size:
+        yield shared(left, np.array([before]))
+
+
+def _open_cells(batches: Iterator[pa.RecordBatch], closest: bool) -> Iterator[pa.RecordBatch]:
+    """From (key, i, j, block, node, n_words, label, hist) sorted by the first three and n_words: pairs of different labels that the histograms do not rule out, of two blocks unless i = j; or of each document the closest alone."""
+    arrow = to_arrow_schema(PAIR)
+
+    def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        i, j = rows[0][1:3]
+        block, node, n_words, label = (np.array([r[c] for r in rows], np.int64) for c in range(3, 7))
+        hist = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(-1, BINS).astype(np.int16)
+        found, size = [], 0
+        for at in range(1, len(rows)):
+            low = int(np.searchsorted(n_words[:at], THRESHOLD * n_words[at] - 1e-9))
+            other = label[low:at] != label[at]
+            if i != j:
+                other &= block[low:at] != block[at]
+            other = np.flatnonzero(other) + low
+            if len(other):
+                off = np.abs(hist[other] - hist[at]).sum(1)
+                near = off <= 2 * ((1 - THRESHOLD) * n_words[at] + 1e-9)
+                other = other[[off.argmin()]] if closest and near.any() else other[near]
+                found.append(np.stack([node[other], np.full(len(other), node[at])]))
+                size += len(other)
+            if size > 100_000 or (found and at == len(rows) - 1):
+                a, b = np.sort(np.concatenate(found, axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=arrow)
+                found, size = [], 0
+
+    kept: list[tuple] = []
+    for batch in batches:
+        for r in zip(*(batch.column(i).to_pylist() for i in range(8))):
+            if kept and r[:3] != kept[0][:3]:
+                yield from pairs(kept)
+                kept = []
+            kept.append(r)
+    if kept:
+        yield from pairs(kept)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     arrow = to_arrow_schema(PAIR)
     for batch in batches:
         for part in common.slices(batch, 2):
-            keep = [similarity(_unpack(x), _unpack(y)) >= THRESHOLD for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays(part.filter(pa.array(keep)).columns[:2], schema=arrow)
+            keep = [alike(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays(part.filter(pa.array(keep, pa.bool_())).columns[:2], schema=arrow)
 
 
-def only(df: DataFrame, ids: DataFrame, n_ids: int, how: str = "left_semi") -> DataFrame:
-    """df's rows whose doc_id is (left_anti: is not) among ids, a broadcast if they are few."""
-    return df.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, "doc_id", how)
+def small(df: DataFrame, n: int) -> DataFrame:
+    """df, broadcast in a join if its counted rows are few."""
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
 def aligned(known: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the written pairs whose alignment reaches THRESHOLD, written."""
-    ids = common.written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    own = only(known.select("doc_id", "words"), ids, ids.count()).dropDuplicates(["doc_id"])
-    sides = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("words").alias("wa")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("words").alias("wb")), "b")
+    """Those of the written pairs (a, b) whose alignment reaches THRESHOLD, written."""
+    ids = common.written(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "ids")
+    own = known.select("row", "words").join(small(ids, ids.count()), "row", "left_semi")
+    sides = pairs.join(own.select(F.col("row").alias("a"), F.col("words").alias("wa")), "a").join(own.select(F.col("row").alias("b"), F.col("words").alias("wb")), "b")
     return common.written(sides.select("a", "b", "wa", "wb").mapInArrow(_verify, PAIR), "aligned")
 
 
-def open_pairs(nodes: DataFrame, pairs: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
-    """What the choice of leaders left out wrongly: candidates with different labels, in the buckets that hold a pair whose alignment failed.
-
-    In a bucket all of whose pairs were confirmed, whoever was not paired is linked through those who were.
-    """
-    failed = pairs.join(links, ["a", "b"], "left_anti")
-    bands = nodes.select("doc_id", "bands")
-    both = failed.join(bands.select(F.col("doc_id").alias("a"), F.col("bands").alias("x")), "a").join(bands.select(F.col("doc_id").alias("b"), F.col("bands").alias("y")), "b")
-    keys = common.written(both.select(F.explode(F.array_intersect("x", "y")).alias("key")).distinct(), "keys")
-    few = keys.count() <= BROADCAST_IDS
-    rows = nodes.select(F.explode("bands").alias("key"), "doc_id", "n_words", "mins", "places").join(F.broadcast(keys) if few else keys, "key", "left_semi")
-    rows = rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", F.col("doc_id").alias("a"), "n_words", "mins", "places", F.coalesce("label", "doc_id").alias("label"))
-    found = rows.repartition("key").sortWithinPartitions("key", "n_words", "a").mapInArrow(_open_buckets, PAIR).distinct()
-    return common.written(found.join(failed, ["a", "b"], "left_anti"), "open")
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, label): for each node of links (a, b) the smallest node it is connected with.
 
     Each round takes the smallest label among the neighbours and then the label of that label,
     so long chains halve. A round is written to the shared folder; the driver sees a count.
     """
-    edges = common.written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    edges = common.written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "links")
     labels = common.written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
         heard = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
@@ -424,55 +418,94 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def wider(known: DataFrame, links: DataFrame) -> DataFrame:
+    """(label, wider) of the classes that links (a, b) between nodes join. known: (node, label); other nodes are their own label."""
+    ends = common.written(links.select("a", "b").withColumn("i", F.monotonically_increasing_id()), "ends")
+    of = lambda end: ends.select("i", F.col(end).alias("node")).join(known, "node", "left").select("i", F.coalesce("label", "node").alias(end))
+    return components(of("a").join(of("b"), "i").select("a", "b").distinct()).select(F.col("node").alias("label"), F.col("label").alias("wider"))
+
+
+def relabel(rows: DataFrame, by: DataFrame) -> DataFrame:
+    """rows with their labels widened, written."""
+    out = rows.join(small(by, by.count()), "label", "left").withColumn("label", F.coalesce("wider", "label"))
+    return common.written(out.select(*rows.columns), "labels")
+
+
+def open_rows(nodes: DataFrame, local: DataFrame, met: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, n_words, hist, label, blocks) of all documents in the buckets where several classes met, written. met: (key, a) with the groups that met under a key."""
+    own = labels.withColumnRenamed("node", "rep")
+    keys = met.select("key", F.col("a").alias("rep")).join(own, "rep").groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
+    keys = common.written(keys, "keys")
+    rows = local.join(small(keys, keys.count()), "key", "left_semi").select("key", "node", "n_words")
+    rows = common.written(rows.join(labels, "node").join(nodes.select(F.col("row").alias("node"), "hist"), "node"), "open")
+    large = common.written(rows.groupBy("key").count().where(F.col("count") > CELL).select("key", F.ceil(F.col("count") / CELL).cast("int").alias("blocks")), "large")
+    return rows.join(small(large, large.count()), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+
+
+def open_pairs(rows: DataFrame, closest: bool) -> DataFrame:
+    """Candidates of different classes in the open buckets, written: of each document the likeliest alone, or all that the bound leaves."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "n_words", "label", "hist")
+    found = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n_words", "node").mapInArrow(partial(_open_cells, closest=closest), PAIR)
+    return common.written(found.distinct(), "pairs")
+
+
+def classes(docs: DataFrame, row: str, key: str, text: str) -> DataFrame:
+    """(row, doc_id, class_id, keep) of docs whose column `row` numbers the rows, written. keep: the row that stands for the class."""
+    every = common.written(sketches(docs, row, key, text), "sketches")
+    known = every.where("n_words > 0")
+    copies = known.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k1", "k2", "node")
+    copies = common.written(copies, "copies")
+    again = known.select("row", "k1", "k2").join(small(copies, copies.count()), ["k1", "k2"]).where("row != node").select("row", "node")
+    again = common.written(again, "again")
+    n_again = again.count()
+    nodes = known.select("row", "n_words", "hist", "words").join(small(again.select("row"), n_again), "row", "left_anti")
+    local = common.written(nodes.mapInArrow(_group_batch, LOCAL), "local")
+    found = local.where("lead").select("key", "node", "rep", "n_words").repartition("key").sortWithinPartitions("key", "n_words", "node").mapInArrow(_group_buckets, GLOBAL)
+    found = common.written(found, "buckets")
+    links = aligned(known, common.written(found.where("b IS NOT NULL").select("a", "b").distinct(), "pairs"))
+    labels = common.written(local.groupBy("node").agg(F.first("rep").alias("label")), "labels")
+    labels = relabel(labels, wider(labels, links))
+    opened = open_rows(nodes, local, found.where("b IS NULL"), labels)
+    for closest in (True, False):
+        by = common.written(wider(labels, aligned(known, open_pairs(opened, closest))), "wider")
+        labels = relabel(labels, by)
+        opened = opened.join(small(by, by.count()), "label", "left").withColumn("label", F.coalesce("wider", "label")).drop("wider") if closest else None
+    # rows of equal words, then the class of each; texts without words are classes of their own
+    rows = every.select("row", "doc_id").join(small(again, n_again), "row", "left").withColumn("node", F.coalesce("node", "row"))
+    rows = common.written(rows.join(labels, "node", "left").select("row", "doc_id", F.coalesce("label", "node").alias("label")), "rows")
+    of = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    of = common.written(of, "of")
+    out = rows.join(small(of, of.count()), "label", "left")
+    return common.written(out.select("row", "doc_id", F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), (F.coalesce("first", "row") == F.col("row")).alias("keep")), "classes")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id long, class_id long (the smallest doc_id of its class).
 
-    Documents with equal words are one class, and classes with an alignment of THRESHOLD or more
-    are joined transitively. Null, empty and wordless texts are classes of their own; rows
-    that share an id are one document; a null id gets the class of the documents with equal words,
-    null if there are none. An empty table gives an empty result.
+    Rows with equal words are one class, and classes with an alignment of THRESHOLD or more
+    are joined transitively. Null, empty and wordless texts are classes of their own. Classes are of rows: rows
+    that share an id may be in different ones. A null id gets the smallest id of its class, null
+    if there is none. An empty table gives an empty result; further columns are not read.
 
-    A document of fewer than 5 words is compared as a whole. Texts of 5 to about 20 words that
-    differ in a word may share no run of five words; such pairs can be missed.
+    Pairs of fewer than FEW_WORDS words are all found; for longer ones the README states which share is.
     """
-    all_docs = common.written(sketches(docs, key, text), "sketches")
-    known = all_docs.where((F.col("n_words") > 0) & F.col("doc_id").isNotNull())
-    one = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("n_words", "bands", "mins", "places"), "doc_id").alias("s"))
-    nodes = common.written(one.select("k1", "k2", "doc_id", "s.*"), "nodes")
-    rows = nodes.select("doc_id", "n_words", "bands", "mins", "places").mapInArrow(_group_in_task, BUCKET)
-    pairs = rows.repartition("key").sortWithinPartitions("key", "n_words", "a").mapInArrow(_group_buckets, PAIR)
-    pairs = common.written(pairs.where("a != b").distinct(), "pairs")
-    links = aligned(known, pairs)
-    labels = components(links)
-    more = aligned(known, open_pairs(nodes, pairs, links, labels))
-    # classes that these link are joined as nodes of their own
-    of = lambda end: more.join(labels.withColumnRenamed("node", end), end, "left").select("a", "b", F.coalesce("label", end).alias("l"))
-    joined = of("a").join(of("b").withColumnRenamed("l", "m"), ["a", "b"]).select(F.col("l").alias("a"), F.col("m").alias("b")).distinct()
-    wider = components(joined).select(F.col("node").alias("label"), F.col("label").alias("wider"))
-    old = nodes.select(F.col("doc_id").alias("node")).join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    labels = old.join(wider, "label", "left").select("node", F.coalesce("wider", "label").alias("label"))
-    classes = nodes.select("k1", "k2", F.col("doc_id").alias("node")).join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("class_id"))
-    return all_docs.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    numbered = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).withColumn("row", F.monotonically_increasing_id())
+    return classes(numbered, "row", "k", "t").select("doc_id", "class_id")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its class, one row of each id; rows with a null id stay if their class has no id.
+    """One row of docs for each class of near_duplicates, with all its columns: that with the smallest id, null ids last; of rows with one id, any one whose text is of the class.
 
-    The ids to drop are broadcast if they are few, else joined; the texts are not shuffled then.
+    Null, empty and wordless texts all stay, repeated ones too. Columns keep their names, whatever they are.
+    The rows are written once with a number; those to drop are broadcast if they are few, else joined, so texts are not shuffled then.
     """
-    classes = common.written(near_duplicates(docs, key, text), "classes")
-    drop = classes.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("class_id"))).select("doc_id").distinct()
-    repeated = classes.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
-    out = docs.withColumn("_id", F.col(key).cast("long"))
-    n_drop, n_repeated = drop.count(), repeated.count()
-    out = out.join(F.broadcast(drop.withColumnRenamed("doc_id", "_drop")) if n_drop <= BROADCAST_IDS else drop.withColumnRenamed("doc_id", "_drop"), F.col("_id") == F.col("_drop"), "left_anti")
-    if n_repeated:  # rows that share an id are rare: they alone are sorted, to keep one of each
-        few = F.broadcast(repeated.withColumnRenamed("doc_id", "_again")) if n_repeated <= BROADCAST_IDS else repeated.withColumnRenamed("doc_id", "_again")
-        single = out.join(few, F.col("_id") == F.col("_again"), "left_anti")
-        multiple = out.join(few, F.col("_id") == F.col("_again"), "left_semi")
-        out = single.unionByName(multiple.dropDuplicates(["_id"]))
-    return out.drop("_id")
+    row = common.unused(docs, "row")
+    numbered = common.written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    drop = classes(numbered, row, key, text).where("NOT keep").select(F.col("row").alias(row))
+    return numbered.join(small(drop, drop.count()), row, "left_anti").drop(row)
 
 
 def op3_order_minhash(spark, sf_dir):
+    """doc_id, class_id of each row of documents; odd rows as near_duplicates has them."""
     return near_duplicates(common.read(spark, sf_dir, "documents"))

@@ -187,13 +187,22 @@ def test_similarity_and_sketches():
         b = np.delete(b, rng.integers(0, len(b))) if len(b) > 1 and rng.random() < 0.5 else b
         want = 1 - full_distance(a.tolist(), b.tolist()) / max(len(a), len(b))
         assert order_minhash.similarity(a, b) == pytest.approx(want if want >= 0.8 - 1e-9 else 0)
-    assert order_minhash.sketch("") is None and order_minhash.sketch(None) is None and order_minhash.sketch(" ,. ") is None
-    assert order_minhash.sketch("One, two") == order_minhash.sketch("one TWO!")
-    words = [f"w{i}" for i in range(300)]
-    changed = words[:150] + ["new"] + words[151:]
-    twice = changed + words[:6]  # a run of five words occurs again: the first keeps its hash
-    bands = lambda w: set(order_minhash.sketch(" ".join(w))[3])
-    assert len(bands(words) & bands(changed)) > 10 and len(bands(changed) & bands(twice)) > 10
+    hashes = order_minhash._Hashes()
+    for empty in ("", None, " ,. "):
+        assert order_minhash.sketch(empty, hashes) == (None, None, 0, None, None)
+    assert order_minhash.sketch("One, two", hashes) == order_minhash.sketch("one TWO!", hashes)
+    # repeated words count: k-mers carry their occurrence number
+    once, thrice = (np.frombuffer(order_minhash.sketch("a b c d e f g " * n, hashes)[4], "<u4").astype(np.uint64) for n in (1, 3))
+    assert len(set(order_minhash.kmers(thrice).tolist())) == len(thrice) - order_minhash.K + 1 and set(order_minhash.kmers(once).tolist()) < set(order_minhash.kmers(thrice).tolist())
+
+
+def test_histograms_bound_the_distance_from_below():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        a = rng.integers(0, 2**32, rng.integers(1, 60)).astype(np.uint32)
+        b = np.where(rng.random(len(a)) < 0.2, rng.integers(0, 2**32, len(a)), a).astype(np.uint32)[int(rng.integers(0, 2)) :]
+        off = np.abs(order_minhash.histogram(a).astype(int) - order_minhash.histogram(b)).sum()
+        assert off <= 2 * full_distance(a.tolist(), b.tolist())
 
 
 def test_a_token_over_a_boundary_goes_by_the_rule():
@@ -356,3 +365,36 @@ def test_gates_follow_the_text():
 
 def test_crc32_is_unsigned():
     assert zlib.crc32(np.array([1], "<u4").tobytes()) == 0x99F8B879
+
+
+def test_alike_texts_share_a_key_whatever_their_length():
+    """Recall of the search by similarity: every word changed independently, all pairs of a family, by the operator's own similarity."""
+    rng = np.random.default_rng(4)
+    for n in (6, 12, 19, 22, 30, 60, 119, 125, 200, 600):
+        met = {0.80: [], 0.85: [], 0.90: []}
+        for rate in (0.05, 0.08, 0.1):
+            for _ in range(12):
+                base = rng.integers(1, 2**32, n)
+                family = [np.where(rng.random(n) < rate, rng.integers(1, 2**32, n), base).astype(np.uint32) for _ in range(4)]
+                keys = [set(order_minhash.keys_of(h).tolist()) for h in family]
+                for i in range(4):
+                    for j in range(i):
+                        if (s := order_minhash.similarity(family[i], family[j])) and s < 1:
+                            met[max(k for k in met if k <= s + 1e-9)].append(bool(keys[i] & keys[j]))
+        for least, found in met.items():
+            assert not found or np.mean(found) >= (1 if n < 20 else 0.9), (n, least)
+
+
+def test_segments_find_every_pair_of_few_words():
+    rng = np.random.default_rng(5)
+    for _ in range(3000):
+        n = int(rng.integers(4, 23))
+        a = rng.integers(1, 60, n).astype(np.uint32)
+        b = a.tolist()
+        for _ in range(int(rng.integers(1, 5))):
+            at = int(rng.integers(0, len(b) + 1))
+            kind = int(rng.integers(0, 3))
+            b[at : at + (kind > 0)] = [int(rng.integers(60, 99))] if kind < 2 else []
+        b = np.array(b, np.uint32)
+        if min(len(a), len(b)) < order_minhash.FEW_WORDS and order_minhash.similarity(a, b):
+            assert np.array_equal(a, b) or set(order_minhash.keys_of(a).tolist()) & set(order_minhash.keys_of(b).tolist())
