@@ -3,25 +3,38 @@
 The vocabulary drops white space, so a text's ids are those of its space-separated chunks one
 after the other. Most chunks occur again and again: their ids are kept. A new chunk of simple
 characters is cut as the tokenizer's own splitting rule does, so that its words are kept apart
-from the punctuation around them; any other chunk goes to the library as it is.
+from the punctuation around them; any other chunk goes to the library as it is. A tokenizer file
+with other rules than these gets whole texts.
 """
 
 from __future__ import annotations
 
+import gc
+import json
 import os
 import re
 from functools import lru_cache
 
 import numpy as np
 
-#: Entries that a worker keeps of each kind, in two generations of so many; about 200 bytes each.
-KEPT_CHUNKS, KEPT_WORDS = 250_000, 400_000
-LONG = 64
+#: Entries that a worker keeps of each kind, in two generations of so many. Longer keys than LONG are not kept, so an entry has about 200 bytes.
+KEPT_CHUNKS, KEPT_WORDS = 250_000, 300_000
+LONG = 48
+#: Texts are encoded about so many characters at a time.
+SOME_CHARS = 6_000_000
 _LETTER = "a-zªµºß-öø-ÿ"
 _NUMBER = "0-9²³¹¼½¾"
 #: Printable ASCII and Latin-1 without the no-break space: no character of it combines with another or changes under NFC.
 SIMPLE = re.compile(r"[\x21-\x7E\xA1-\xFF]+")
 PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
+#: What the tokenizer file must say for the rules above to be its own (fixed values of the public vocabulary file).
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None,
+}
 
 
 class _Kept:
@@ -39,6 +52,11 @@ class _Kept:
         self.now.update((k, self.old[k]) for k in known)
         return list(absent - known)
 
+    def forget_long(self, keys: list) -> None:
+        for k in keys:
+            if len(k) > LONG:
+                del self.now[k]
+
 
 class WordEncoder:
     """ids of texts as bytes of little-endian unsigned 32-bit integers."""
@@ -48,6 +66,8 @@ class WordEncoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.whole = Tokenizer.from_file(path)
+        said = json.loads(self.whole.to_str())
+        self.by_word = all(said.get(k) == v for k, v in RULES.items()) and said["model"].get("end_of_word_suffix") == "</w>"
         # the same model for pieces that are normal and cut already
         self.pieces = Tokenizer.from_file(path)
         self.pieces.normalizer = normalizers.Sequence([])
@@ -55,6 +75,10 @@ class WordEncoder:
         vocabulary = self.whole.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        """Forgets all chunks and words: results stay the same, memory shrinks."""
         self.chunks, self.words = _Kept(KEPT_CHUNKS), _Kept(KEPT_WORDS)
 
     def _direct(self, texts: list[str]) -> list[bytes]:
@@ -74,30 +98,48 @@ class WordEncoder:
 
     def _learn_chunks(self, chunks: list[bytes]) -> None:
         plain, cut, odd = [], [], []
-        for c in chunks:
-            text = c.decode("utf-8")
-            if "<|" in text or not SIMPLE.fullmatch(text):
+        simple, pieces = SIMPLE.fullmatch, PIECE.findall
+        for c, text in zip(chunks, b"\n".join(chunks).decode("utf-8").split("\n")):
+            if "<|" in text or not simple(text):
                 odd.append((c, text))
             else:
                 plain.append(c)
-                cut.append(PIECE.findall(text.lower()))
-        self._learn_words(self.words.new(set().union(*cut)))
+                cut.append(pieces(text.lower()))
+        new = self.words.new(set().union(*cut))
+        self._learn_words(new)
         get = self.words.now.__getitem__
-        self.chunks.now.update((c, b"".join(map(get, p))) for c, p in zip(plain, cut))
+        self.chunks.now.update((c, get(p[0]) if len(p) == 1 else b"".join(map(get, p))) for c, p in zip(plain, cut))
         self.chunks.now.update(zip((c for c, _ in odd), self._direct([t for _, t in odd])))
+        self.words.forget_long(new)
 
-    def encode_many(self, texts: list) -> list[bytes]:
-        """The ids of each whole text; none for null."""
+    def _some(self, texts: list) -> list[bytes]:
         split = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
         new = self.chunks.new(set().union(*split))
         self._learn_chunks(new)
         get = self.chunks.now.__getitem__
         out = [b"".join(map(get, w)) for w in split]
-        for c in new:
-            if len(c) > LONG:
-                del self.chunks.now[c]
+        self.chunks.forget_long(new)
         return out
 
+    def encode_many(self, texts: list) -> list[bytes]:
+        """The ids of each whole text; none for null."""
+        if not self.by_word:
+            return self._direct([(t or "").encode("utf-8", "replace").decode() for t in texts])
+        out, some, size = [], [], 0
+        collects = gc.isenabled()
+        gc.disable()  # nothing here has cycles, and the collector would walk every list of words
+        try:
+            for t in texts:
+                some.append(t)
+                size += len(t or "")
+                if size >= SOME_CHARS:
+                    out += self._some(some)
+                    some, size = [], 0
+            return out + self._some(some)
+        finally:
+            if collects:
+                gc.enable()
+
     def encode(self, text: str | None) -> bytes:
         return self.encode_many([text])[0]
 
