@@ -22,8 +22,8 @@ STRIDE, BLOCKS = 8, 4
 WIDTH = STRIDE * BLOCKS
 EMBED, FILTERS, HIDDEN = 7, 48, 16
 LAGS = range(2, 25)
-#: The documented bound of the training sample: documents of each label, characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 1500, 4096
+#: The documented bound of the training sample: documents of each label. Their texts are whole.
+SAMPLE_DOCS = 1500
 EPOCHS, BATCH, RATE = 12, 32, 0.004
 THRESHOLD = 0.3
 #: Bytes that are scored at once; the pool carries over, so a document of any length is covered.
@@ -51,7 +51,7 @@ def blocks_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = max(BLOCKS, -(-len(raw) // STRIDE))
     b = np.zeros(n * STRIDE, np.uint8)
     b[: len(raw)] = raw
-    m = np.zeros(n * STRIDE, np.float32)
+    m = np.zeros(n * STRIDE, np.uint8)
     m[: len(raw)] = match(raw)
     return b.reshape(n, STRIDE), m.reshape(n, STRIDE)
 
@@ -108,17 +108,26 @@ class Net:
             return np.zeros(0)
         return self.head(np.stack([self.pooled(to_bytes(t)) for t in texts])).astype(np.float64)
 
+    def tops(self, b: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """The maximum of each filter over a document's chunks, their places and their inputs block by block; a long document goes segment by segment."""
+        best, place, seen = None, None, None
+        step = SEGMENT // STRIDE
+        for s in range(0, max(1, len(b) - BLOCKS + 1), step):
+            x = self.inputs(b[s : s + step + BLOCKS - 1], m[s : s + step + BLOCKS - 1])
+            z = self.chunks(x)
+            at = z.argmax(0)
+            top, own = z[at, np.arange(FILTERS)], x[at[:, None] + np.arange(BLOCKS)]
+            if best is None:
+                best, place, seen = top, at, own
+                continue
+            more = top > best
+            best[more], place[more], seen[more] = top[more], at[more] + s, own[more]
+        return best, (place, seen)
+
     def grads(self, docs: list, y: np.ndarray) -> tuple[float, dict]:
         """Mean log loss and its gradients; docs: blocks_of() of each document."""
         p = self.p
-        tops, rows = [], []
-        for b, m in docs:
-            x = self.inputs(b, m)
-            z = self.chunks(x)
-            at = z.argmax(0)
-            tops.append(z[at, np.arange(FILTERS)])
-            # the chunk under each filter's maximum, block by block
-            rows.append((at, x[at[:, None] + np.arange(BLOCKS)]))
+        tops, rows = zip(*(self.tops(b, m) for b, m in docs))
         a0 = np.stack(tops) + p["c"]
         r0 = np.maximum(a0, 0)
         a1 = r0 @ p["w1"] + p["c1"]
@@ -170,15 +179,15 @@ def train(texts: list, labels: list[int], seed: int = 7, epochs: int = EPOCHS) -
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> Net:
-    """Trained on at most sample_docs labelled documents of each label, chosen by a hash of the key.
+    """Trained on at most sample_docs labelled documents of each label, chosen by a hash of the key; their texts are whole.
 
-    A document with several labels counts as the smallest. The sample's keys are joined with
-    docs as a broadcast of at most 2 x sample_docs rows.
+    A document with several labels counts as the smallest; of rows that share a key the smallest text counts; null texts and keys do not. The
+    sample's keys are joined with docs as a broadcast of at most 2 x sample_docs rows. Without any label the score is 0.5 everywhere.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(label).alias("y"))
     chosen = common.bounded_sample(known, "y", "k", sample_docs)
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()).join(F.broadcast(chosen), "k")
-    rows = rows.select("k", "y", common.window("t", SAMPLE_CHARS).alias("t")).dropDuplicates(["k"]).collect()
+    rows = rows.groupBy("k", "y").agg(F.min("t").alias("t")).collect()
     rows.sort(key=lambda r: str(r.k))
     return train([r.t for r in rows], [r.y for r in rows])
 
@@ -189,12 +198,16 @@ def _scorer(shared) -> Callable:
 
 
 def classify(docs: DataFrame, net: Net, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """docs with quality_score double. One pass without a shuffle; the network is of fixed size. An input column of that name is replaced."""
+    """docs with quality_score double. One pass without a shuffle; the network is of fixed size.
+
+    Null and empty texts get the score of no byte at all, repeated rows the same score each; an empty table stays empty. An input column of that name is replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(net)
     return common.add_columns(docs, text, common.fields("quality_score double"), partial(_scorer, shared), drop=() if keep_text else (text,))
 
 
 def op8_byte_cnn(spark, sf_dir):
+    """doc_id, held_out, score, predicted of each row of documents; odd texts as classify has them."""
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
     net = fit(docs, common.read(spark, sf_dir, "labels").where(common.remainder("doc_id", 5) != 0))
     out = classify(docs, net, keep_text=False)

@@ -21,8 +21,8 @@ from . import common
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
-#: Benchmark texts are searched in blocks of about so many characters; each block is one pass over the documents.
-BLOCK_CHARS = 40_000_000
+#: Benchmark texts are searched in blocks of about so many characters, whose tables take some 300 MB of a worker; each block is one pass over the documents.
+BLOCK_CHARS = 4_000_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -135,9 +135,10 @@ def find(docs: DataFrame, items: DataFrame, item_id: str = "item_id", item_text:
         if out is None:
             out = common.add_columns(docs, text, spec, partial(_searcher, shared), drop=() if keep_text or blocks > 1 else (text,))
             continue
-        out = out.withColumnRenamed("hit_spans", "_spans").withColumnRenamed("hit_items", "_items")
+        old_spans, old_items = common.unused(out, "spans"), common.unused(out, "items")
+        out = out.withColumnRenamed("hit_spans", old_spans).withColumnRenamed("hit_items", old_items)
         out = common.add_columns(common.written(out, "decontaminate"), text, spec, partial(_searcher, shared))
-        out = out.withColumn("hit_spans", merge_spans(F.col("_spans"), F.col("hit_spans"))).withColumn("hit_items", F.array_sort(F.array_union("_items", "hit_items"))).drop("_spans", "_items")
+        out = out.withColumn("hit_spans", merge_spans(F.col(old_spans), F.col("hit_spans"))).withColumn("hit_items", F.array_sort(F.array_union(old_items, "hit_items"))).drop(old_spans, old_items)
     return out if keep_text or blocks == 1 else out.drop(text)
 
 
@@ -147,6 +148,7 @@ def n_hit(spans: str = "hit_spans") -> F.Column:
 
 
 def op4_decontaminate(spark, sf_dir):
+    """The contract's columns for each row of documents; null and wordless texts have no words and no hits."""
     found = find(common.read(spark, sf_dir, "documents").select("doc_id", "text"), common.read(spark, sf_dir, "benchmark"), keep_text=False)
     return found.select("doc_id", "n_words", n_hit().alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("hit_spans") > 0).alias("contaminated"))
 

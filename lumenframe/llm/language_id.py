@@ -20,8 +20,8 @@ from . import common
 LEVEL = 12
 #: Bytes that are compressed at once: chunks bound memory, and within one the dictionary still tells more than the text itself.
 CHUNK = 8192
-#: The documented bound of the training sample: documents a language, characters of each, bytes of a dictionary.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY = 400, 2000, 112_000
+#: The documented bound of the training sample: documents a language that are looked at, and bytes of a dictionary, which takes whole texts.
+SAMPLE_DOCS, DICTIONARY = 400, 112_000
 MAX_LANGUAGES = 256
 #: A decision is accepted if the runner-up needs at least this share more bytes.
 MIN_MARGIN = 0.01
@@ -35,9 +35,10 @@ def normal(text: str) -> bytes:
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id") -> dict[str, bytes]:
     """language -> dictionary, from a bounded sample of the documents with a non-null language, chosen by a hash of key.
 
-    Languages without any text are not learned. More than MAX_LANGUAGES languages are an error.
+    A dictionary takes whole texts of its language, each that still fits, and at least the shortest one. Equal texts count once. Languages without any text, and
+    null and empty texts, are not learned. More than MAX_LANGUAGES languages are an error.
     """
-    labelled = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(lang).alias("l"), common.window(text, SAMPLE_CHARS).alias("t"))
+    labelled = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
     rows = common.bounded_sample(labelled, "l", "k", SAMPLE_DOCS).collect()
     found: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r.l, r.k or "", r.t)):
@@ -46,8 +47,12 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     out = {}
     for name, texts in found.items():
-        each = max(1, DICTIONARY // len(texts))
-        out[name] = b"\n".join(t[:each] for t in texts)[:DICTIONARY] if sum(map(len, texts)) > DICTIONARY else b"\n".join(texts)
+        taken, size = [], 0
+        for t in dict.fromkeys(texts):
+            if size + len(t) < DICTIONARY:
+                taken.append(t)
+                size += len(t) + 1
+        out[name] = b"\n".join(taken or [min(texts, key=len)])
     return {k: v for k, v in out.items() if v.strip()}
 
 
@@ -96,6 +101,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     """docs with lang_best string, lang_score double, lang_accepted boolean and lang_pred (lang_best, or UNKNOWN where rejected).
 
     One pass without a shuffle; the dictionaries are of bounded size. Input columns with these names are replaced.
+    Null texts and texts without a letter get UNKNOWN with score 0; repeated rows come out alike; an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
     out = common.add_columns(common.without(docs, ["lang_pred"]), text, common.fields("lang_best string, lang_score double, lang_accepted boolean"), partial(_predictor, shared), drop=() if keep_text else (text,))

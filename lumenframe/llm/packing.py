@@ -159,10 +159,12 @@ def pack(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = EN
     Each task packs the documents that it reads, so nothing is shuffled and memory is bounded by
     the waiting pieces; sequence ids hold the task's number in their upper bits. All tokens of
     a document bear loss but the first of each piece, which has nothing before it. Null and
-    empty texts are the end id alone; repeated rows are packed as often as they occur.
+    empty texts are the end id alone; repeated rows are packed as often as they occur; an empty
+    table has no pieces. A key named like a column of the result gets an underscore before its name.
     """
     kind = docs.schema[key].dataType
-    schema = T.StructType([T.StructField(key, kind), *common.fields("start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, n_loss long")])
+    result = common.fields("start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, n_loss long")
+    schema = T.StructType([T.StructField(common.unlike(key, result.names), kind), *result])
     arrow = to_arrow_schema(schema)
     end = np.array([end_id], "<u4").tobytes()
 
@@ -208,7 +210,8 @@ def pack_examples(examples: DataFrame, limits: Limits = Limits(), key: str = "co
     an example without tokens takes a segment of length 0. Nothing is shuffled.
     """
     kind = examples.schema[key].dataType
-    schema = T.StructType([T.StructField(key, kind), *common.fields("sequence_id long, offset long, n_tokens long, n_loss long, fits boolean")])
+    result = common.fields("sequence_id long, offset long, n_tokens long, n_loss long, fits boolean")
+    schema = T.StructType([T.StructField(common.unlike(key, result.names), kind), *result])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +245,34 @@ def pack_examples(examples: DataFrame, limits: Limits = Limits(), key: str = "co
     return examples.select(F.col(key), F.col(tokens).cast("long"), F.col(loss).cast("long")).mapInArrow(run, schema)
 
 
+def example_sizes(turns: DataFrame, path: str, end_id: int = END_ID, key: str = "conv_id", role: str = "role", text: str = "text", bears: str = "assistant") -> DataFrame:
+    """(key, n_tokens, n_loss) of conversations given by turns: each turn's ids and one end id; those of the role `bears` bear loss.
+
+    Counts are summed before the shuffle, so a conversation may have any number of turns. Null texts are the end id alone; turns with a null key are one conversation.
+    """
+
+    def make():
+        encode = encoder(path).encode_many
+        return lambda texts: {"n_ids": [len(x) // 4 + 1 for x in encode(texts)]}
+
+    counted = common.add_columns(turns.select(F.col(key).alias("k"), F.col(role).alias("r"), F.col(text).alias("t")), "t", common.fields("n_ids long"), make, drop=("t",))
+    sums = counted.groupBy("k").agg(F.sum("n_ids").alias("n_tokens"), F.sum(F.when(F.col("r") == bears, F.col("n_ids")).otherwise(0)).alias("n_loss"))
+    return sums.withColumnRenamed("k", common.unlike(key, ["n_tokens", "n_loss"]))
+
+
+#: Limits of the query over conversations: each of the three binds for some of them.
+EXAMPLE_LIMITS = Limits(tokens=2048, segments=12, loss_tokens=768)
+
+
+def op7_examples(spark, sf_dir):
+    """Whole conversations packed under all three limits, none cut: a row for each, as pack_examples has it."""
+    import public_tokenizers
+
+    return pack_examples(example_sizes(common.read(spark, sf_dir, "conversations"), public_tokenizers.path("word_bpe_49k.json")), EXAMPLE_LIMITS)
+
+
 def op7_packing(spark, sf_dir):
+    """The pieces of all documents, each cut where a sequence ends; odd texts as pack has them."""
     import public_tokenizers
 
     return pack(common.read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

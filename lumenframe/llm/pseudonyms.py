@@ -18,6 +18,7 @@ from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from . import common
 
@@ -218,11 +219,11 @@ def _next(text: str, m: re.Match) -> int:
     return run.end() if run else m.end()
 
 
-def _replacer(key: bytes) -> Callable:
+def _replacer(key: bytes, name: str) -> Callable:
     def f(texts: list) -> dict[str, list]:
         done = [replace(t, key) for t in texts]
         kinds = [Counter(k for k, _, _ in found) for _, found in done]
-        return {"text": [t for t, _ in done], "n_pii": [len(found) for _, found in done], "pii_kinds": [",".join(f"{k}:{n}" for k, n in sorted(c.items())) for c in kinds]}
+        return {name: [t for t, _ in done], "n_pii": [len(found) for _, found in done], "pii_kinds": [",".join(f"{k}:{n}" for k, n in sorted(c.items())) for c in kinds]}
 
     return f
 
@@ -235,10 +236,9 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """
     if not key:
         raise ValueError("the key is empty")
-    spec = common.fields("text string, n_pii long, pii_kinds string")
+    spec = T.StructType([T.StructField(text, T.StringType()), *common.fields("n_pii long, pii_kinds string")])
     order = [c for c in docs.columns if c.lower() not in ("n_pii", "pii_kinds")]
-    out = common.add_columns(docs, text, spec, partial(_replacer, key), drop=(text,))
-    out = out if text == "text" else out.withColumnRenamed("text", text)
+    out = common.add_columns(docs, text, spec, partial(_replacer, key, text))
     return out.select(*[f"`{c}`" for c in order], "n_pii", "pii_kinds")
 
 
@@ -247,4 +247,5 @@ DEMO_KEY = b"lumenframe demonstration key"
 
 
 def op5_pseudonyms(spark, sf_dir):
+    """doc_id, text, n_pii, pii_kinds of each row of documents; nulls and repeated rows as pseudonymise has them."""
     return pseudonymise(common.read(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY)

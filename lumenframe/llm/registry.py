@@ -12,6 +12,7 @@ QUERIES = {
     "op5_pseudonyms": pseudonyms.op5_pseudonyms,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_packing": packing.op7_packing,
+    "packing_examples": packing.op7_examples,
     "op8_byte_cnn": byte_cnn.op8_byte_cnn,
     "op9_section_tokens": section_tokens.op9_section_tokens,
     "op10_context_mixing": context_mixing.op10_context_mixing,

@@ -90,12 +90,13 @@ def section_tokens(docs: DataFrame, path: str, rule: str = "largest", key: str =
 
     sections: a function from a text to the character offsets where sections begin, the first 0.
     Documents with a null or empty text have one section of length 0 without tokens; null keys
-    and repeated rows are kept as they are. No shuffle; a long document is one row of a batch.
+    and repeated rows are kept as they are, and a key named like a column of the result gets an underscore before its name. No shuffle; a long document is one row of a batch.
     """
     if rule not in RULES:
         raise ValueError(rule)
     kind = docs.schema[key].dataType
-    schema = T.StructType([T.StructField(key, kind), *common.fields("section int, start long, length long, n_tokens long, n_crossing long")])
+    result = common.fields("section int, start long, length long, n_tokens long, n_crossing long")
+    schema = T.StructType([T.StructField(common.unlike(key, result.names), kind), *result])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
@@ -117,6 +118,7 @@ def section_tokens(docs: DataFrame, path: str, rule: str = "largest", key: str =
 
 
 def op9_section_tokens(spark, sf_dir):
+    """The lines of each row of documents as sections; odd texts as section_tokens has them."""
     import public_tokenizers
 
     return section_tokens(common.read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))

@@ -7,8 +7,10 @@ occurrences in a range and the places where it occurs, without decoding the rest
 
 Layout of a shard's payload: magic, numbers of documents, tokens, alphabet and planes, lengths of
 the sections, then the sections as zstandard frames: document ids, null flags, document
-lengths, alphabet, zeros of each plane, and each plane in 64-bit words. A shard is one
-row of one Parquet file, beside its place in the order and its number of tokens.
+lengths, alphabet, zeros of each plane, then for each plane its directory (the ones before every
+block of BLOCK_WORDS words) and its bits in 64-bit words. A frame is decompressed when it is first
+asked for, so a rank in one plane touches that plane alone. A shard is one row of one Parquet file,
+beside its place in the order and its number of tokens.
 """
 
 from __future__ import annotations
@@ -28,27 +30,29 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from . import common
 from .word_ids import encoder
 
-MAGIC = b"WVM1"
+MAGIC = b"WVM2"
 HEAD = struct.Struct("<4sQQII")
 SHARD_TOKENS = 1 << 21
 END_ID = 1
+BLOCK_WORDS = 8
 SHARD = common.fields("part int, seq int, n_docs long, n_tokens long, payload binary")
 TOKENS = common.fields("part int, seq int, doc_id long, local long, n_tokens long, ids_crc32 long")
 
 
 class Plane:
-    """A bit vector with rank and select."""
+    """A bit vector with rank and select over a directory of blocks."""
 
-    def __init__(self, packed: bytes, n: int):
+    def __init__(self, packed: bytes, n: int, directory: bytes | None = None):
+        """directory: as stored, or made from the bits."""
         self.n = n
         self.bytes = np.frombuffer(packed, np.uint8)
-        self._words = self._ones = None
-
-    def _index(self):
-        if self._ones is None:
-            self._words = self.bytes.view("<u8")
-            self._ones = np.concatenate([[0], np.cumsum(np.bitwise_count(self._words), dtype=np.int64)])
-        return self._words, self._ones
+        self.words = self.bytes.view("<u8")
+        if directory is None:
+            ones = np.bitwise_count(self.words)
+            ones = np.concatenate([ones, np.zeros(-len(ones) % BLOCK_WORDS, ones.dtype)]).reshape(-1, BLOCK_WORDS).sum(1, dtype=np.int64)
+            self.ones = np.concatenate([[0], np.cumsum(ones)]).astype("<u8")
+        else:
+            self.ones = np.frombuffer(directory, "<u8")
 
     def bits(self) -> np.ndarray:
         return np.unpackbits(self.bytes, count=self.n, bitorder="little").view(bool)
@@ -58,25 +62,55 @@ class Plane:
 
     def rank(self, bit: int, i: int) -> int:
         """How often bit occurs before place i."""
-        words, ones = self._index()
-        r = int(ones[i >> 6])
+        word = i >> 6
+        block = word // BLOCK_WORDS
+        r = int(self.ones[block])
+        for w in range(block * BLOCK_WORDS, word):
+            r += int(self.words[w]).bit_count()
         if i & 63:
-            r += (int(words[i >> 6]) & ((1 << (i & 63)) - 1)).bit_count()
+            r += (int(self.words[word]) & ((1 << (i & 63)) - 1)).bit_count()
         return r if bit else i - r
 
     def select(self, bit: int, k: int) -> int:
-        """The place of the k-th occurrence of bit, from 0."""
-        words, ones = self._index()
-        counts = ones if bit else np.arange(len(ones)) * 64 - ones
-        w = int(np.searchsorted(counts, k, "right")) - 1
-        word = int(words[w]) if bit else ~int(words[w]) & (1 << 64) - 1
-        for _ in range(k - int(counts[w])):
+        """The place of the k-th occurrence of bit, from 0: a binary search in the directory, then within a block."""
+        low, high = 0, len(self.ones) - 1  # the last block whose count is k at most
+        while high - low > 1:
+            middle = (low + high) // 2
+            before = int(self.ones[middle])
+            low, high = (middle, high) if (before if bit else middle * BLOCK_WORDS * 64 - before) <= k else (low, middle)
+        k -= int(self.ones[low]) if bit else low * BLOCK_WORDS * 64 - int(self.ones[low])
+        w = low * BLOCK_WORDS
+        while True:
+            word = int(self.words[w]) if bit else ~int(self.words[w]) & (1 << 64) - 1
+            if k < (n := word.bit_count()):
+                break
+            k, w = k - n, w + 1
+        for _ in range(k):
             word &= word - 1
         return w * 64 + (word & -word).bit_length() - 1
 
 
+class _Planes:
+    """The planes of a stored shard, each decompressed when it is first used."""
+
+    def __init__(self, frames: list, n: int):
+        self.frames, self.n = frames, n
+        self.made: list = [None] * (len(frames) // 2)
+
+    def __len__(self) -> int:
+        return len(self.made)
+
+    def __getitem__(self, i: int) -> Plane:
+        if not 0 <= i < len(self.made):
+            raise IndexError(i)
+        if self.made[i] is None:
+            d = zstandard.ZstdDecompressor()
+            self.made[i] = Plane(d.decompress(self.frames[2 * i + 1]), self.n, d.decompress(self.frames[2 * i]))
+        return self.made[i]
+
+
 class WaveletShard:
-    def __init__(self, doc_ids: list, lengths: np.ndarray, alphabet: np.ndarray, zeros: list[int], planes: list[Plane]):
+    def __init__(self, doc_ids: list, lengths: np.ndarray, alphabet: np.ndarray, zeros: list[int], planes: list[Plane] | _Planes):
         self.doc_ids, self.lengths, self.alphabet, self.zeros, self.planes = doc_ids, lengths, alphabet, zeros, planes
         self.n = int(lengths.sum())
         self._code = None
@@ -103,7 +137,9 @@ class WaveletShard:
     def to_bytes(self) -> bytes:
         nulls = np.array([x is None for x in self.doc_ids], bool)
         ids = np.array([x or 0 for x in self.doc_ids], "<i8")
-        raw = [ids.tobytes(), np.packbits(nulls).tobytes(), self.lengths.astype("<i8").tobytes(), self.alphabet.astype("<u4").tobytes(), np.asarray(self.zeros, "<u8").tobytes(), *(p.bytes.tobytes() for p in self.planes)]
+        raw = [ids.tobytes(), np.packbits(nulls).tobytes(), self.lengths.astype("<i8").tobytes(), self.alphabet.astype("<u4").tobytes(), np.asarray(self.zeros, "<u8").tobytes()]
+        for p in self.planes:
+            raw += [p.ones.tobytes(), p.bytes.tobytes()]
         c = zstandard.ZstdCompressor(level=1)
         frames = [c.compress(x) for x in raw]
         return b"".join([HEAD.pack(MAGIC, len(ids), self.n, len(self.alphabet), len(self.planes)), np.array([len(x) for x in frames], "<u8").tobytes(), *frames])
@@ -113,14 +149,15 @@ class WaveletShard:
         magic, n_docs, n, _, n_planes = HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a wavelet shard")
-        sizes = np.frombuffer(data, "<u8", 5 + n_planes, HEAD.size)
-        at, parts, d = HEAD.size + 8 * len(sizes), [], zstandard.ZstdDecompressor()
+        sizes = np.frombuffer(data, "<u8", 5 + 2 * n_planes, HEAD.size)
+        at, frames, d = HEAD.size + 8 * len(sizes), [], zstandard.ZstdDecompressor()
         for size in map(int, sizes):
-            parts.append(d.decompress(data[at : at + size]))
+            frames.append(data[at : at + size])
             at += size
+        parts = [d.decompress(x) for x in frames[:5]]
         nulls = np.unpackbits(np.frombuffer(parts[1], np.uint8), count=n_docs) if n_docs else ()
         ids = [None if z else x for x, z in zip(np.frombuffer(parts[0], "<i8").tolist(), nulls)]
-        return cls(ids, np.frombuffer(parts[2], "<i8"), np.frombuffer(parts[3], "<u4"), np.frombuffer(parts[4], "<u8").astype(np.int64).tolist(), [Plane(p, n) for p in parts[5:]])
+        return cls(ids, np.frombuffer(parts[2], "<i8"), np.frombuffer(parts[3], "<u4"), np.frombuffer(parts[4], "<u8").astype(np.int64).tolist(), _Planes(frames[5:], n))
 
     def decode(self) -> np.ndarray:
         """All tokens, plane by plane from the lowest."""
@@ -251,8 +288,11 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _offsets(files: DataFrame) -> DataFrame:
-    before = F.sum("n_tokens").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))
-    return files.select("part", "seq", "n_tokens").select("part", "seq", F.coalesce(before, F.lit(0)).alias("base"))
+    """The tokens before each shard: those of the parts before, which are as many as the tasks that wrote them, and those before it in its part."""
+    shards = files.select("part", "seq", "n_tokens")
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select("part", before(Window.orderBy("part")).alias("first"))
+    return shards.withColumn("own", before(Window.partitionBy("part").orderBy("seq"))).join(parts, "part").select("part", "seq", (F.col("first") + F.col("own")).alias("base"))
 
 
 def count_tokens(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame:
@@ -284,6 +324,7 @@ def find_token(spark: SparkSession, path: str, token: int) -> DataFrame:
 
 
 def op1_wavelet(spark, sf_dir):
+    """doc_id, start, n_tokens, ids_crc32 of each row of documents, read back from the shards; odd texts as encode_shards has them."""
     import public_tokenizers
 
     path = common.folder(spark, "wavelet")

@@ -366,3 +366,46 @@ def test_pipeline_stages_on_odd_tables(spark, sf, odd, nothing):
             assert out.count() <= 10 * len(ODD_ROWS) or name == "packing"
             if name != "packing":
                 assert out.columns == corpus_pipeline.COLUMNS
+
+
+def test_clashing_names_everywhere(spark, odd):
+    """Columns named like an operator's own pass through or are replaced as the docstrings say; nothing crashes."""
+    clash = odd.selectExpr("*", "1 AS _id", "2 AS _drop", "3 AS _again", "4 AS row", "5 AS _ROW", "6 AS _spans", "7 AS _items", "8 AS label", "text AS body")
+    kept = order_minhash.deduplicate(clash)
+    assert kept.columns == clash.columns and kept.where("_id = 1 AND _drop = 2 AND _again = 3 AND row = 4 AND _ROW = 5").count() == kept.count()
+    items = spark.createDataFrame([(10, "three four"), (7, "of a long text line 7 of a long text line 8")], "item_id long, text string")
+    found = decontaminate.find(clash, items, block_chars=15)
+    assert found.where("_spans = 6 AND _items = 7").count() == len(ODD_ROWS) and found.where(F.size("hit_spans") > 0).count() > 0
+    got = pseudonyms.pseudonymise(clash.withColumn("text", F.lit("untouched")), b"k", text="body")
+    assert got.columns == [*clash.columns, "n_pii", "pii_kinds"] and {r.text for r in got.select("text").collect()} == {"untouched"}
+    renamed = odd.select(F.col("doc_id").alias("Start"), "text")
+    assert packing.pack(renamed, WORDS, key="Start").columns[:2] == ["_Start", "start"]
+    assert section_tokens.section_tokens(renamed, RANKS, key="Start").columns[:3] == ["_Start", "section", "start"]
+    assert packing.pack(renamed, WORDS, key="Start").select("_Start").distinct().count() == 7
+
+
+def test_op3_rows_that_share_an_id_are_rows_of_their_own(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    docs = spark.createDataFrame([(5, a), (5, b), (7, a + " more"), (3, b), (None, a), (None, "quite alone here")], "doc_id long, text string")
+    got = sorted(map(tuple, order_minhash.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(5, 5), (5, 3), (7, 5), (3, 3), (None, 5), (None, None)], key=str)
+    assert sorted((r.doc_id or 0, r.text) for r in order_minhash.deduplicate(docs).collect()) == sorted([(5, a), (3, b), (0, "quite alone here")])
+
+
+def test_conversations_are_packed_under_all_limits(spark, sf):
+    """Sizes against the library turn by turn; every limit holds, and each binds somewhere."""
+    enc = WordEncoder(WORDS)
+    sizes = {}
+    for r in common.read(spark, sf, "conversations").collect():
+        n = len(enc.whole.encode(r.text or "", add_special_tokens=False).ids) + 1
+        old = sizes.get(r.conv_id, (0, 0))
+        sizes[r.conv_id] = old[0] + n, old[1] + n * (r.role == "assistant")
+    got = registry.QUERIES["packing_examples"](spark, sf).collect()
+    assert {r.conv_id: (r.n_tokens, r.n_loss) for r in got} == sizes and len(got) == len(sizes)
+    lim = packing.EXAMPLE_LIMITS
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append(r)
+    for s in by.values():
+        assert not s[0].fits or (sum(r.n_tokens for r in s) <= lim.tokens and len(s) <= lim.segments and sum(r.n_loss for r in s) <= lim.loss_tokens)
+    assert all(r.fits == (r.n_tokens <= lim.tokens and r.n_loss <= lim.loss_tokens) for r in got)
