@@ -13,9 +13,9 @@ A group of thousands of copies never becomes all its pairs. Equal word sequences
 the start. Within a batch, neighbours in the buckets (by number of words) are aligned on the
 spot until the batch's groups hang together, and a group sends one row for each key on to the
 other batches, where neighbours are aligned likewise. Links become classes by repeated joins.
-Buckets that then hold more than one class are opened: first each document there is aligned with
-the likeliest document of another class, then all pairs of different classes that a lower bound
-of their distance does not rule out. So every pair that shares a key ends in one class, or was
+Buckets that then hold more than one class are opened: their documents meet, in cells of bounded
+size, and all pairs of different classes that a lower bound of their distance does not rule out
+are aligned there, the likeliest first, until the classes hang together. So every pair that shares a key ends in one class, or was
 aligned and refuted, or is ruled out by the bound. Nothing of the size of the corpus comes to the driver.
 """
 
@@ -40,19 +40,19 @@ THRESHOLD = 0.8
 K, BANDS = 5, 72
 SHORT_K, SHORT_BANDS = 3, 32
 LONG_WORDS, FEW_WORDS = 120, 20
-#: Bins of the histogram of a document's words.
-BINS = 128
+#: Bins of the histograms of a document's words: a quick look, and a closer one.
+BINS, FINE_BINS = 128, 768
 #: Rows of three numbers that are broadcast at most; beyond that the join shuffles.
 BROADCAST_ROWS = 2_000_000
-#: Rows of a cell of an open bucket; larger buckets are cut into blocks, and each two blocks meet in a cell.
-CELL = 2048
+#: Rows and words of a block of an open bucket; larger buckets are cut into blocks, and each two blocks meet in a cell.
+CELL, CELL_WORDS = 2048, 2_000_000
 
 _rng = np.random.default_rng(20240229)
 _SEEDS = _rng.integers(0, 2**63, BANDS, dtype=np.uint64)[:, None]
 _ODD = (_rng.integers(0, 2**62, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
 _ROLL = _rng.integers(0, 2**62, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-SKETCH = common.fields("row long, doc_id long, k1 long, k2 long, n_words int, hist binary, words binary")
+SKETCH = common.fields("row long, doc_id long, k1 long, k2 long, n_words int, words binary")
 LOCAL = common.fields("key long, node long, rep long, n_words int, lead boolean")
 GLOBAL = common.fields("key long, a long, b long")
 PAIR = common.fields("a long, b long")
@@ -161,18 +161,18 @@ def keys_of(h: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out)).view(np.int64)
 
 
-def histogram(h: np.ndarray) -> np.ndarray:
+def histogram(h: np.ndarray, bins: int = BINS) -> np.ndarray:
     """How often words fall in each bin, 255 at most. An edit changes two bins by one each at most, so half the difference of two histograms bounds the distance from below."""
-    return np.minimum(np.bincount(h & np.uint32(BINS - 1), minlength=BINS), 255).astype(np.uint8)
+    return np.minimum(np.bincount(h % np.uint32(bins), minlength=bins), 255).astype(np.uint8)
 
 
 def sketch(text: str | None, hashes: dict) -> tuple:
-    """k1, k2 (a hash of the words), n_words, hist and the words' hashes; nulls without words."""
+    """k1, k2 (a hash of the words), n_words and the words' hashes; nulls without words."""
     w = words(text)
     if not w:
-        return None, None, 0, None, None
+        return None, None, 0, None
     h = np.fromiter(map(hashes.__getitem__, w), np.uint32, len(w))
-    return *np.frombuffer(xxhash.xxh3_128_digest(b" ".join(w)), "<i8").tolist(), len(w), histogram(h).tobytes(), h.astype("<u4").tobytes()
+    return *np.frombuffer(xxhash.xxh3_128_digest(b" ".join(w)), "<i8").tolist(), len(w), h.astype("<u4").tobytes()
 
 
 def sketches(docs: DataFrame, row: str, key: str, text: str) -> DataFrame:
@@ -278,7 +278,7 @@ class _Sets:
 
 
 def _group_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (row, n_words, hist, words): rows of LOCAL, one for each key of each document. rep: the smallest row of the document's group in the batch; lead: the first of its group under this key."""
+    """From (row, n_words, words): rows of LOCAL, one for each key of each document. rep: the smallest row of the document's group in the batch; lead: the first of its group under this key."""
     arrow = to_arrow_schema(LOCAL)
     for batch in batches:
         n = batch.num_rows
@@ -286,8 +286,8 @@ def _group_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         batch = batch.take(np.argsort(batch.column(0).to_numpy(), kind="stable"))
         rows, n_words = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
-        hist = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(n, BINS).astype(np.int16)
-        own = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(3)]
+        own = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(2)]
+        hist = np.stack([histogram(h) for h in own]).astype(np.int16)
         keys = [keys_of(h) for h in own]
         at = np.repeat(np.arange(n), [len(k) for k in keys])
         keys = np.concatenate(keys)
@@ -341,41 +341,50 @@ def _group_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield shared(left, np.array([before]))
 
 
-def _open_cells(batches: Iterator[pa.RecordBatch], closest: bool) -> Iterator[pa.RecordBatch]:
-    """From (key, i, j, block, node, n_words, label, hist) sorted by the first three and n_words: pairs of different labels that the histograms do not rule out, of two blocks unless i = j; or of each document the closest alone."""
+def _open_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (key, i, j, block, node, n_words, label, words, keys) sorted by the first three and n_words: links between the labels of a cell, whose pairs are of two blocks unless i = j.
+
+    keys: the open buckets of the document. A pair that meets in several is aligned in the one with the smallest key.
+    """
     arrow = to_arrow_schema(PAIR)
 
-    def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        i, j = rows[0][1:3]
-        block, node, n_words, label = (np.array([r[c] for r in rows], np.int64) for c in range(3, 7))
-        hist = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(-1, BINS).astype(np.int16)
-        found, size = [], 0
+    def links(rows: list[tuple]) -> list[tuple[int, int]]:
+        key, i, j = rows[0][:3]
+        block, n_words, label = (np.array([r[c] for r in rows], np.int64) for c in (3, 5, 6))
+        words, keys = [np.frombuffer(r[7], "<u4") for r in rows], [set(r[8]) for r in rows]
+        hist, fine = np.stack([histogram(h) for h in words]).astype(np.int16), np.stack([histogram(h, FINE_BINS) for h in words])
+        label = np.unique(label, return_inverse=True)[1]
+        sets, found = _Sets(len(rows)), []
         for at in range(1, len(rows)):
             low = int(np.searchsorted(n_words[:at], THRESHOLD * n_words[at] - 1e-9))
             other = label[low:at] != label[at]
             if i != j:
                 other &= block[low:at] != block[at]
             other = np.flatnonzero(other) + low
-            if len(other):
-                off = np.abs(hist[other] - hist[at]).sum(1)
-                near = off <= 2 * ((1 - THRESHOLD) * n_words[at] + 1e-9)
-                other = other[[off.argmin()]] if closest and near.any() else other[near]
-                found.append(np.stack([node[other], np.full(len(other), node[at])]))
-                size += len(other)
-            if size > 100_000 or (found and at == len(rows) - 1):
-                a, b = np.sort(np.concatenate(found, axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=arrow)
-                found, size = [], 0
-
-    kept: list[tuple] = []
+            most = 2 * most_edits(len(words[at]))
+            off = np.abs(hist[other] - hist[at]).sum(1)
+            other, off = other[off <= most], off[off <= most]
+            if not len(other):
+                continue
+            off = np.abs(fine[other].astype(np.int16) - fine[at]).sum(1)
+            other, off = other[off <= most], off[off <= most]
+            for x in other[np.argsort(off, kind="stable")].tolist():
+                if sets.root(label[x]) != sets.root(label[at]) and min(keys[x] & keys[at]) == key and alike(words[x], words[at]):
+                    sets.join(label[x], label[at])
+                    found.append((rows[x][4], rows[at][4]))
+        return found
+
+    kept, out = [], []
     for batch in batches:
-        for r in zip(*(batch.column(i).to_pylist() for i in range(8))):
+        for r in zip(*(batch.column(i).to_pylist() for i in range(9))):
             if kept and r[:3] != kept[0][:3]:
-                yield from pairs(kept)
+                out += links(kept)
                 kept = []
             kept.append(r)
-    if kept:
-        yield from pairs(kept)
+    out += links(kept) if kept else []
+    if out:
+        a, b = np.unique(np.sort(np.array(out, np.int64), axis=1), axis=0).T
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=arrow)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,23 +440,23 @@ def relabel(rows: DataFrame, by: DataFrame) -> DataFrame:
     return common.written(out.select(*rows.columns), "labels")
 
 
-def open_rows(nodes: DataFrame, local: DataFrame, met: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, node, n_words, hist, label, blocks) of all documents in the buckets where several classes met, written. met: (key, a) with the groups that met under a key."""
-    own = labels.withColumnRenamed("node", "rep")
-    keys = met.select("key", F.col("a").alias("rep")).join(own, "rep").groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
-    keys = common.written(keys, "keys")
-    rows = local.join(small(keys, keys.count()), "key", "left_semi").select("key", "node", "n_words")
-    rows = common.written(rows.join(labels, "node").join(nodes.select(F.col("row").alias("node"), "hist"), "node"), "open")
-    large = common.written(rows.groupBy("key").count().where(F.col("count") > CELL).select("key", F.ceil(F.col("count") / CELL).cast("int").alias("blocks")), "large")
-    return rows.join(small(large, large.count()), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-
+def open_links(nodes: DataFrame, local: DataFrame, met: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links between the classes of all buckets where several met, written. met: (key, a) with the groups that met under a key.
 
-def open_pairs(rows: DataFrame, closest: bool) -> DataFrame:
-    """Candidates of different classes in the open buckets, written: of each document the likeliest alone, or all that the bound leaves."""
+    A bucket's documents come with their words, so no pair is a row unless it is a link.
+    """
+    keys = met.select("key", F.col("a").alias("rep")).join(labels.withColumnRenamed("node", "rep"), "rep").groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
+    keys = common.written(keys, "keys")
+    rows = common.written(local.join(small(keys, keys.count()), "key", "left_semi").select("key", "node", "n_words").join(labels, "node"), "open")
+    own = rows.groupBy("node").agg(F.collect_list("key").alias("keys"))  # as many as a document has keys
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / CELL, F.sum("n_words") / CELL_WORDS)).cast("int")
+    large = common.written(rows.groupBy("key").agg(blocks.alias("blocks")).where("blocks > 1"), "large")
+    rows = rows.join(small(large, large.count()), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "n_words", "label", "hist")
-    found = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n_words", "node").mapInArrow(partial(_open_cells, closest=closest), PAIR)
-    return common.written(found.distinct(), "pairs")
+    rows = rows.join(own.join(nodes.select(F.col("row").alias("node"), "words"), "node"), "node")
+    rows = rows.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "n_words", "label", "words", "keys")
+    found = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n_words", "node").mapInArrow(_open_cells, PAIR)
+    return common.written(found.distinct(), "more")
 
 
 def classes(docs: DataFrame, row: str, key: str, text: str) -> DataFrame:
@@ -459,18 +468,14 @@ def classes(docs: DataFrame, row: str, key: str, text: str) -> DataFrame:
     again = known.select("row", "k1", "k2").join(small(copies, copies.count()), ["k1", "k2"]).where("row != node").select("row", "node")
     again = common.written(again, "again")
     n_again = again.count()
-    nodes = known.select("row", "n_words", "hist", "words").join(small(again.select("row"), n_again), "row", "left_anti")
+    nodes = known.select("row", "n_words", "words").join(small(again.select("row"), n_again), "row", "left_anti")
     local = common.written(nodes.mapInArrow(_group_batch, LOCAL), "local")
     found = local.where("lead").select("key", "node", "rep", "n_words").repartition("key").sortWithinPartitions("key", "n_words", "node").mapInArrow(_group_buckets, GLOBAL)
     found = common.written(found, "buckets")
     links = aligned(known, common.written(found.where("b IS NOT NULL").select("a", "b").distinct(), "pairs"))
     labels = common.written(local.groupBy("node").agg(F.first("rep").alias("label")), "labels")
     labels = relabel(labels, wider(labels, links))
-    opened = open_rows(nodes, local, found.where("b IS NULL"), labels)
-    for closest in (True, False):
-        by = common.written(wider(labels, aligned(known, open_pairs(opened, closest))), "wider")
-        labels = relabel(labels, by)
-        opened = opened.join(small(by, by.count()), "label", "left").withColumn("label", F.coalesce("wider", "label")).drop("wider") if closest else None
+    labels = relabel(labels, wider(labels, open_links(nodes, local, found.where("b IS NULL"), labels)))
     # rows of equal words, then the class of each; texts without words are classes of their own
     rows = every.select("row", "doc_id").join(small(again, n_again), "row", "left").withColumn("node", F.coalesce("node", "row"))
     rows = common.written(rows.join(labels, "node", "left").select("row", "doc_id", F.coalesce("label", "node").alias("label")), "rows")
