@@ -8,12 +8,17 @@ combined by weights that the gate and the confidence select; the weights are lea
 gradient steps over the training vocabulary, each word predicted without its own occurrence, and
 an adaptive map, learned along with them, refines the mixed probability. The gate follows the
 text: frequent words that occur together form classes, and two successive ones of a class open it.
-So a text's bits, and its bits per byte, come out as a sum over its words. Scores do not depend
-on the order or partitioning of the texts.
+
+While a text is scored, the model adapts to it: beside the spelt word there are two predictors
+that learn from the text alone, the words so far and what followed the word before, and the
+weights of the three move after every word by what each would have said (exponentiated
+gradient, from equal weights at the start of each text). Every text starts anew, so scores do
+not depend on the order of the texts, and on their partitioning in the last digits only.
 
 Statistics cover every training document. Their way through the cluster: each task splits
 its texts into parts and keeps a part's distinct words and their counts beside its texts; words
-meet by hash to get their total counts, and these go back to the parts that hold them.
+meet by hash to get their total counts and, once the weights are learned, the probabilities of
+their spelling, each word and gate once; these go back to the parts that hold them.
 """
 
 from __future__ import annotations
@@ -24,7 +29,6 @@ import struct
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +41,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import common
 
-#: Frequent words that make gates, classes at most, least likeness of two classes that merge.
-TOP_WORDS, GATES, LIKE = 96, 12, 0.35
-#: Bits of the slot numbers of each predictor's table: the model is of fixed size, about 50 MB, whatever the corpus.
+#: Frequent words that make gates, their least share of all words, classes at most, least likeness of two classes that merge.
+TOP_WORDS, TOP_SHARE, GATES, LIKE = 96, 1 / 500, 12, 0.35
+#: Bits of the slot numbers of each predictor's table. The model that is broadcast, about 50 MB, has this size whatever the corpus; counts of words, from which the base score and the spelling's counts come, grow with it.
 SLOT_BITS = (21, 21, 21, 18, 18)
 PREDICTORS = len(SLOT_BITS)
 #: Words that occur less often than this in training feed the short contexts alone.
@@ -50,6 +54,8 @@ MAP_STEPS = 33
 PART_BYTES, BLOB_BYTES = 32_000_000, 4_000_000
 BLOCK = 1 << 16
 RATE = 0.03
+#: How fast the weights of a text's own predictors move, and the least weight of each.
+ADAPT, FLOOR = 0.3, 0.01
 
 PART = common.fields("kind int, p long, r int, words binary, counts binary, tokens long, known long")
 SUMS = common.fields("predictor int, block int, counts binary")
@@ -124,21 +130,20 @@ class Gates:
             groups[x] += groups.pop(y)
         return cls({tops[i]: g for g, members in enumerate(groups) for i in members})
 
-    def runs(self, tokens: list[bytes]) -> list[tuple[int, int, int]]:
-        """(start, end, gate): the tokens in stretches of one gate; what opens a gate counts from the next token on."""
-        n = len(tokens)
-        c = np.fromiter(map(self.classes.get, tokens, repeat(-1)), np.int8, n)
-        at = np.flatnonzero(c >= 0)
-        if not len(at):
-            return [(0, n, self.n - 1)]
-        c = c[at]
-        opens = np.concatenate([[True], c[1:] == c[:-1]])
-        at, c = at[opens], c[opens]
-        change = np.concatenate([[True], c[1:] != c[:-1]])
-        starts, gates = (at[change] + 1).tolist(), c[change].tolist()
-        out = [(0, starts[0], self.n - 1)]
-        out += [(s, e, g) for s, e, g in zip(starts, [*starts[1:], n], gates) if e > s]
-        return out
+    def of(self, classes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The gate of each token, from its class (-1: none), in texts that begin at `starts`: what opens a gate counts from the next token on."""
+        n = len(classes)
+        at = np.flatnonzero(classes >= 0)
+        text = np.searchsorted(starts, at, "right")
+        c = classes[at]
+        opens = np.ones(len(at), bool)  # the first frequent word of a text opens its gate at once
+        opens[1:] = (c[1:] == c[:-1]) | (text[1:] != text[:-1])
+        # the last opening before each token, if it is of the same text
+        last = np.full(n + 1, -1)
+        last[at[opens] + 1] = at[opens]
+        last = np.maximum.accumulate(last)[:n]
+        begin = np.repeat(starts, np.diff([*starts, n]))
+        return np.where(last >= begin, classes[np.maximum(last, 0)], self.n - 1).astype(np.int8)
 
 
 class Events:
@@ -197,12 +202,12 @@ class Model:
         self._ready = None
 
     def __getstate__(self):
-        """Tables travel compressed: most slots of a small corpus are empty, and counts are small."""
-        return (self.code, self.gates, [pack(t.astype("<u4").tobytes()) for t in self.tables], self.weights, self.map)
+        """Tables travel compressed: most slots of a small corpus are empty."""
+        return (self.code, self.gates, [pack(t.astype("<f4").tobytes()) for t in self.tables], self.weights, self.map)
 
     def __setstate__(self, state):
         code, gates, tables, weights, steps = state
-        self.__init__(code, gates, [np.frombuffer(unpack(t), "<u4").astype(np.float32).reshape(2, -1) for t in tables])
+        self.__init__(code, gates, [np.frombuffer(unpack(t), "<f4").reshape(2, -1) for t in tables])
         self.weights, self.map = weights, steps
 
     def _inputs(self, e: Events, gates: np.ndarray, own: np.ndarray | None = None):
@@ -282,30 +287,41 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int):
 
 
 def _profile(batches):
-    """Each task's most frequent words and its bytes, over training documents."""
-    tops, total = Counter(), np.zeros(256, np.int64)
+    """Every word that may have a share of TOP_SHARE of the task's words or more, and the task's bytes, over training documents.
+
+    Rare words are forgotten when they are many, by a count that `missed` bounds for every word,
+    so none that is frequent is lost: a word with that share of all words has it in some task.
+    """
+    tops, total, n, missed = Counter(), np.zeros(256, np.int64), 0, 0
     for part in _texts(batches, 0):
         for t in part.column(0).to_pylist():
             w = words(t)
             tops.update(w)
+            n += len(w)
             total += np.bincount(np.frombuffer(b" ".join([*w, b" "]), np.uint8), minlength=256)
-        if len(tops) > 400_000:
-            tops = Counter(dict(tops.most_common(20_000)))
-    best = tops.most_common(3 * TOP_WORDS)
-    yield pa.RecordBatch.from_pydict({"kind": [0] * len(best) + [1] * 256, "key": [w for w, _ in best] + [bytes([b]) for b in range(256)], "n": [n for _, n in best] + total.tolist()}, schema=pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("n", pa.int64())]))
+        if len(tops) > 200_000 and (cut := int(TOP_SHARE / 4 * n) - missed) > 0:
+            tops = Counter({w: c for w, c in tops.items() if c > cut})
+            missed += cut
+    best = [w for w, c in tops.items() if c + missed >= TOP_SHARE * n]
+    yield pa.RecordBatch.from_pydict({"kind": [0] * len(best) + [1] * 256 + [2], "key": best + [bytes([b]) for b in range(256)] + [b""], "n": [0] * len(best) + total.tolist() + [n]}, schema=pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("n", pa.int64())]))
 
 
 def _together(batches, tops: list[bytes]):
+    """In how many documents two of the words occur (i, j), and how often each occurs at all (i, null)."""
     at = {w: i for i, w in enumerate(tops)}
-    total = np.zeros((len(tops), len(tops)), np.int64)
+    total, often = np.zeros((len(tops), len(tops)), np.int64), np.zeros(len(tops), np.int64)
     for part in _texts(batches, 0):
-        rows = [[at[w] for w in set(words(t)).intersection(at)] for t in part.column(0).to_pylist()]
-        x = np.zeros((len(rows), len(tops)), np.float32)
-        for i, r in enumerate(rows):
-            x[i, r] = 1
+        x = np.zeros((part.num_rows, len(tops)), np.float32)
+        for i, t in enumerate(part.column(0).to_pylist()):
+            own = [at[w] for w in words(t) if w in at]
+            if own:
+                x[i] = np.bincount(own, minlength=len(tops))
+        often += x.sum(0, dtype=np.float64).astype(np.int64)
+        x = (x > 0).astype(np.float32)
         total += np.rint(x.T @ x).astype(np.int64)
     i, j = np.nonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], schema=pa.schema([("i", pa.int32()), ("j", pa.int32()), ("n", pa.int64())]))
+    k = np.arange(len(tops))
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([i, k]).astype(np.int32)), pa.array([*j.tolist(), *[None] * len(k)], pa.int32()), pa.array(np.concatenate([total[i, j], often]))], schema=pa.schema([("i", pa.int32()), ("j", pa.int32()), ("n", pa.int64())]))
 
 
 def _row(kind=0, p=0, r=0, words=b"", counts=b"", tokens=0, known=0):
@@ -315,77 +331,117 @@ def _row(kind=0, p=0, r=0, words=b"", counts=b"", tokens=0, known=0):
 HEAD = struct.Struct("<q??")
 
 
+class _Part:
+    """The texts of a part, its distinct words, and how often each occurs in training and whether it occurs at all, by gate."""
+
+    def __init__(self, gates: Gates):
+        self.gates, self.index, self.words, self.classes = gates, {}, [], []
+        self.counts = np.zeros((gates.n, 0), np.int32)
+        self.seen = np.zeros((gates.n, 0), bool)
+        self.docs, self.size, self.pending, self.held = [], 0, [], 0
+
+    def add(self, key, text: str | None, train: bool) -> None:
+        w = words(text)
+        raw = b" ".join(w)
+        self.docs.append(HEAD.pack(key or 0, key is None, train) + len(raw).to_bytes(8, "little") + raw)
+        self.size += len(raw)
+        w.append(b"")
+        self.pending.append((w, train))
+        self.held += len(w)
+        if self.held > 200_000:
+            self.count()
+
+    def count(self) -> None:
+        """Counts the pending texts by gate."""
+        if not self.pending:
+            return
+        index = self.index
+        flat = [w for own, _ in self.pending for w in own]
+        for w in set(flat) - index.keys():
+            index[w] = len(index)
+            self.words.append(w)
+            self.classes.append(self.gates.classes.get(w, -1))
+        at = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
+        lengths = np.array([len(own) for own, _ in self.pending])
+        gate = self.gates.of(np.array(self.classes, np.int8)[at], np.cumsum(lengths) - lengths)
+        more = len(index) - self.counts.shape[1]
+        self.counts, self.seen = (np.pad(x, ((0, 0), (0, more))) for x in (self.counts, self.seen))
+        cell = gate.astype(np.int64) * len(index) + at
+        self.seen.reshape(-1)[cell] = True
+        train = np.repeat([t for _, t in self.pending], lengths)
+        cells, n = np.unique(cell[train], return_counts=True)
+        self.counts.reshape(-1)[cells] += n.astype(np.int32)
+        self.pending, self.held = [], 0
+
+    def texts(self, p: int):
+        if self.docs:
+            yield _row(1, p, -1, pack(b"".join(self.docs)))
+        self.docs = []
+
+    def vocabulary(self, p: int, shards: int):
+        """A row for each shard that has words of the part: the words and, gate by gate, twice the count and one more if it is seen."""
+        self.count()
+        shard = np.fromiter((zlib.crc32(w) % shards for w in self.words), np.int64, len(self.words))
+        order = np.argsort(shard, kind="stable")
+        both = (self.counts * 2 + self.seen)[:, order].astype("<i4")
+        for own in np.split(np.arange(len(order)), np.flatnonzero(np.diff(shard[order])) + 1):
+            if len(own):
+                yield _row(0, p, int(shard[order[own[0]]]), pack(b"\n".join(self.words[i] for i in order[own].tolist())), pack(both[:, own].tobytes()), len(own))
+
+
 def _parts(batches, gates: Gates, shards: int):
     """Rows of kind 0: a part's words of a shard with counts by gate; of kind 1: some of its documents."""
-    base = TaskContext.get().partitionId() << 32
-    sub = size = blob = 0
-    counters, present, docs = [Counter() for _ in range(gates.n)], set(), []
-
-    def vocabulary(p):
-        all_words = present.union(*counters)
-        groups: list[list[bytes]] = [[] for _ in range(shards)]
-        for w in all_words:
-            groups[zlib.crc32(w) % shards].append(w)
-        for r, own in enumerate(groups):
-            own.sort()
-            counts = np.array([[c.get(w, 0) for w in own] for c in counters], "<u4")
-            yield _row(0, p, r, pack(b"\n".join(own)), pack(counts.tobytes()), len(own))
-
-    for part in _texts(batches, 1):
-        for k, t, train in zip(*(part.column(i).to_pylist() for i in range(3))):
-            w = words(t)
-            raw = b" ".join(w)
-            w.append(b"")
-            if train:
-                for a, b, g in gates.runs(w):
-                    counters[g].update(w[a:b])
-            else:
-                present.update(w)
-            docs.append(HEAD.pack(k or 0, k is None, bool(train)) + len(raw).to_bytes(8, "little") + raw)
-            blob += len(raw)
-            size += len(raw)
+    p = TaskContext.get().partitionId() << 32
+    part, blob = _Part(gates), 0
+    for rows in _texts(batches, 1):
+        for k, t, train in zip(*(rows.column(i).to_pylist() for i in range(3))):
+            before = part.size
+            part.add(k, t, bool(train))
+            blob += part.size - before
             if blob > BLOB_BYTES:
-                yield _row(1, base + sub, -1, pack(b"".join(docs)))
-                docs, blob = [], 0
-            if size > PART_BYTES:
-                if docs:
-                    yield _row(1, base + sub, -1, pack(b"".join(docs)))
-                yield from vocabulary(base + sub)
-                sub, size, blob = sub + 1, 0, 0
-                counters, present, docs = [Counter() for _ in range(gates.n)], set(), []
-    if docs:
-        yield _row(1, base + sub, -1, pack(b"".join(docs)))
-    if size or present or any(counters):
-        yield from vocabulary(base + sub)
-
-
-def _merge(batches, n_gates: int):
-    """Rows of kind 0 sorted by shard: again kind 0 with total counts; and kind 2: the shard's distinct words with counts by gate, its tokens and its known words."""
+                yield from part.texts(p)
+                blob = 0
+            if part.size > PART_BYTES:
+                yield from part.texts(p)
+                yield from part.vocabulary(p, shards)
+                p, part, blob = p + 1, _Part(gates), 0
+    yield from part.texts(p)
+    yield from part.vocabulary(p, shards)
+
+
+def _merge(batches, n_gates: int, shared=None):
+    """From rows of kind 0 sorted by shard. Without a model, rows of kind 2: the shard's distinct words with counts by gate, its tokens and its known words. With one, again kind 0: a part's words, their total counts and then, gate by gate, the log10 probabilities of those that are seen there."""
 
     def shard(r, rows):
         index: dict[bytes, int] = {}
         places, parts = [], []
-        for p, raw, counts in rows:
+        for _, raw, counts in rows:
             own = unpack(raw).split(b"\n")
             places.append(np.fromiter((index.setdefault(w, len(index)) for w in own), np.int64, len(own)))
-            parts.append(np.frombuffer(unpack(counts), "<u4").reshape(n_gates, -1))
-        total = np.zeros((n_gates, len(index)), np.int64)
+            parts.append(np.frombuffer(unpack(counts), "<i4").reshape(n_gates, -1))
+        total, seen = np.zeros((n_gates, len(index)), np.int64), np.zeros((n_gates, len(index)), bool)
         for at, c in zip(places, parts):
-            total[:, at] += c  # words of one row are distinct
+            total[:, at] += c >> 1  # words of one row are distinct
+            seen[:, at] |= (c & 1).astype(bool)
         every = total.sum(0)
-        for (p, raw, _), at in zip(rows, places):
-            yield _row(0, p, r, raw, pack(every[at].astype("<i8").tobytes()))
-        yield _row(2, 0, r, pack(b"\n".join(index)), pack(total.astype("<i8").tobytes()), int(every.sum()), int((every > 0).sum()))
+        if shared is None:
+            yield _row(2, 0, r, pack(b"\n".join(index)), pack(total.astype("<i8").tobytes()), int(every.sum()), int((every > 0).sum()))
+            return
+        items, (g, at) = list(index), np.nonzero(seen)
+        scores = np.zeros(seen.shape, "<f4")
+        scores[g, at] = shared.value.log_probabilities([items[i] for i in at.tolist()], g)
+        for (p, raw, _), at, c in zip(rows, places, parts):
+            own = (c & 1).astype(bool)
+            yield _row(0, p, r, raw, pack(every[at].astype("<i8").tobytes() + np.packbits(own).tobytes() + scores[:, at][own].tobytes()), len(at))
 
     last, rows = None, []
     for batch in batches:
-        for p, r, raw, counts, n in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
+        for p, r, raw, counts in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
             if r != last and rows:
                 yield from shard(last, rows)
                 rows = []
             last = r
-            if n:
-                rows.append((p, raw, counts))
+            rows.append((p, raw, counts))
     if rows:
         yield from shard(last, rows)
 
@@ -419,7 +475,7 @@ def _count_bits(batches, code: Code, n_gates: int):
             np.add.at(t.reshape(-1), s + e.bit * t.shape[1], w)
     for i, t in enumerate(tables if any_words else ()):
         for b in range(0, t.shape[1], BLOCK):
-            yield pa.RecordBatch.from_pydict({"predictor": [i], "block": [b // BLOCK], "counts": [pack(t[:, b : b + BLOCK].astype("<f4").tobytes())]}, schema=to_arrow_schema(SUMS))
+            yield pa.RecordBatch.from_pydict({"predictor": [i], "block": [b // BLOCK], "counts": [pack(t[:, b : b + BLOCK].astype("<f8").tobytes())]}, schema=to_arrow_schema(SUMS))
 
 
 def _add_blocks(batches):
@@ -427,11 +483,11 @@ def _add_blocks(batches):
     last, total = None, None
 
     def row():
-        return pa.RecordBatch.from_pydict({"predictor": [last[0]], "block": [last[1]], "counts": [pack(total.astype("<f4").tobytes())]}, schema=to_arrow_schema(SUMS))
+        return pa.RecordBatch.from_pydict({"predictor": [last[0]], "block": [last[1]], "counts": [pack(total.astype("<f8").tobytes())]}, schema=to_arrow_schema(SUMS))
 
     for batch in batches:
         for i, b, raw in zip(*(batch.column(j).to_pylist() for j in range(3))):
-            c = np.frombuffer(unpack(raw), "<f4").astype(np.float64)
+            c = np.frombuffer(unpack(raw), "<f8")
             if (i, b) != last:
                 if last is not None:
                     yield row()
@@ -454,44 +510,104 @@ def _train(batches, shared, n_gates: int):
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat), pa.array(np.full(len(flat), n, np.int64))], schema=pa.schema([("i", pa.int32()), ("x", pa.float64()), ("n", pa.int64())]))
 
 
+def earlier(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each key occurred before its place, and a number for each distinct key."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    first = np.ones(len(k), bool)
+    first[1:] = k[1:] != k[:-1]
+    group = np.cumsum(first) - 1
+    out, number = np.empty(len(k), np.int64), np.empty(len(k), np.int64)
+    out[order] = np.arange(len(k)) - np.flatnonzero(first)[group]
+    number[order] = group
+    return out, number
+
+
+def adapted(spelt: np.ndarray, word: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """log10 probability of each token of texts that begin at `starts`, by three predictors whose weights follow the text.
+
+    spelt: log10 probabilities of the spelt words; word: their numbers. The words so far predict
+    (n_w + d * spelt) / (t + d), with d distinct words among t; what followed the word before predicts
+    (n_vw + words so far) / (n_v + 1). All three are distributions, and so is their mixture.
+    """
+    n = len(word)
+    if not n:
+        return np.zeros(0)
+    lengths = np.diff([*starts, n])
+    text = np.repeat(np.arange(len(starts)), lengths)
+    begin = starts[text]
+    n_w, own = earlier(text * (int(word.max()) + 1) + word)
+    t = (np.arange(n) - begin).astype(np.float64)
+    new = (n_w == 0).astype(np.int64)
+    d = np.cumsum(new) - new  # before this token, over all texts
+    d = (d - d[begin]).astype(np.float64)
+    p = 10.0 ** np.maximum(spelt, -300)
+    words = np.where(t > 0, (n_w + d * p) / np.maximum(t + d, 1), p)
+    before = np.concatenate([[0], own[:-1]])
+    before[starts] = n + text[starts]  # a text's first word has none before it: a key that occurs once
+    n_v, _ = earlier(before)
+    n_vw, _ = earlier(before * n + own)
+    pairs = (n_vw + words) / (n_v + 1)
+    x = np.log(np.stack([p, words, pairs]))
+    z = np.cumsum(x, axis=1) - x
+    z = ADAPT * (z - z[:, begin])
+    w = np.exp(z - z.max(0))
+    w = FLOOR + (1 - 3 * FLOOR) * w / w.sum(0)
+    return np.log10((w * np.exp(x)).sum(0))
+
+
 def _score(batches, shared, train_tokens: int, train_words: int):
-    """Rows sorted by part and kind: a part's counts, then its documents."""
-    model: Model = shared.value
+    """Rows sorted by part and kind: a part's words, then its documents."""
+    gates: Gates = shared.value
     floor = math.log10(train_tokens + 0.1 * (train_words + 1)) if train_tokens else 0.0
     arrow = to_arrow_schema(SCORE)
-    part, counts, known_scores = None, {}, []
+    part, index, rows, ready = None, {}, [], None
+
+    def vocabulary():
+        counts, scores, items = [], [], []
+        for raw, own in rows:
+            w = unpack(raw).split(b"\n")
+            data = unpack(own)
+            bits = -(-gates.n * len(w) // 8)
+            seen = np.unpackbits(np.frombuffer(data, np.uint8, bits, 8 * len(w)), count=gates.n * len(w)).astype(bool).reshape(gates.n, -1)
+            s = np.zeros(seen.shape, np.float32)
+            s[seen] = np.frombuffer(data, "<f4", -1, 8 * len(w) + bits)
+            counts.append(np.frombuffer(data, "<i8", len(w)))
+            scores.append(s)
+            items += w
+        index.update(zip(items, range(len(items))))
+        classes = np.fromiter((gates.classes.get(w, -1) for w in items), np.int8, len(items))
+        return np.concatenate(counts), np.concatenate(scores, axis=1), classes
+
     for batch in batches:
         for kind, p, raw, own in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4))):
             if p != part:
-                part, counts, known_scores = p, {}, [{} for _ in range(model.gates.n)]
+                part, index, rows, ready = p, {}, [], None
             if kind == 0:
-                counts.update(zip(unpack(raw).split(b"\n"), np.frombuffer(unpack(own), "<i8").tolist()))
+                rows.append((raw, own))
                 continue
-            data, at, docs = unpack(raw), 0, []
+            if ready is None:
+                ready, rows = vocabulary(), []
+            counts, scores, classes = ready
+            data, at, heads, flat, lengths = unpack(raw), 0, [], [], []
             while at < len(data):
                 k, null, train = HEAD.unpack_from(data, at)
                 at += HEAD.size
                 size = int.from_bytes(data[at : at + 8], "little")
-                text = data[at + 8 : at + 8 + size]
+                w = data[at + 8 : at + 8 + size].split()
                 at += 8 + size
-                w = text.split()
-                w.append(b"")
-                docs.append((None if null else k, not train, w, model.gates.runs(w), size))
-            new: list[set] = [set() for _ in known_scores]
-            for _, _, w, runs, _ in docs:
-                for a, b, g in runs:
-                    new[g].update(w[a:b])
-            for g, own_words in enumerate(new):
-                items = sorted(own_words - known_scores[g].keys())
-                if items:
-                    known_scores[g].update(zip(items, model.log_probabilities(items, np.full(len(items), g)).tolist()))
-            rows = []
-            for k, held, w, runs, size in docs:
-                c = np.fromiter(map(counts.__getitem__, w), np.float64, len(w))
-                base = float(np.log10(c + 0.1).sum()) - len(w) * floor if train_tokens else float(len(w)) * -math.log10(1)
-                score = math.fsum(s for a, b, g in runs for s in map(known_scores[g].__getitem__, w[a:b]))
-                rows.append((k, held, len(w), int((c > 0).sum()), train_tokens, base, score, size + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+                flat += w
+                flat.append(b"")
+                heads.append((None if null else k, not train, size + 1))
+                lengths.append(len(w) + 1)
+            word = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
+            starts = np.cumsum(lengths) - lengths
+            score = adapted(scores[gates.of(classes[word], starts), word].astype(np.float64), word, starts)
+            c = counts[word]
+            base = np.add.reduceat(np.log10(c + 0.1), starts) - np.array(lengths) * floor if train_tokens else np.zeros(len(starts))
+            keys, held, sizes = zip(*heads)
+            cols = [keys, held, lengths, np.add.reduceat((c > 0).astype(np.int64), starts), [train_tokens] * len(starts), base, np.add.reduceat(score, starts), sizes]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, arrow)], schema=arrow)
 
 
 def score(docs: DataFrame, train: F.Column, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -499,35 +615,42 @@ def score(docs: DataFrame, train: F.Column, key: str = "doc_id", text: str = "te
 
     train: which documents the model learns from; all are scored. Null and empty texts are the
     end token alone; repeated rows are scored, and learned, as often as they occur. Without any
-    training token the base is 0.1 / (0 + 0.1 * 1) for each token, and the model is untrained.
+    training token the base is 0.1 / (0 + 0.1 * 1) for each token, and the model is untrained. An
+    empty table gives an empty result; further columns are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.coalesce(train, F.lit(False)).alias("train"))
     learn = rows.where("train").select("t")
     n_docs = rows.select("k").count()
-    profile = learn.mapInArrow(_profile, "kind int, key binary, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    profile.persist()
-    tops = [bytes(r.key) for r in profile.where("kind = 0").orderBy(F.desc("n"), "key").limit(TOP_WORDS).collect()]
-    byte_counts = np.zeros(256, np.int64)
-    for r in profile.where("kind = 1").collect():
-        byte_counts[r.key[0]] = r.n
-    profile.unpersist()
+    profile = learn.mapInArrow(_profile, "kind int, key binary, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).collect()  # a few hundred words at most, as each has a least share
+    tops, byte_counts, n_words = sorted(bytes(r.key) for r in profile if r.kind == 0), np.zeros(256, np.int64), 0
+    for r in profile:
+        if r.kind == 1:
+            byte_counts[r.key[0]] = r.n
+        elif r.kind == 2:
+            n_words = r.n
     code = Code(byte_counts)
-    together = np.zeros((len(tops), len(tops)), np.int64)
+    together, often = np.zeros((len(tops), len(tops)), np.int64), np.zeros(len(tops), np.int64)
     if tops:
         for r in learn.mapInArrow(partial(_together, tops=tops), "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
-            together[r.i, r.j] = r.n
-    gates = Gates.cluster(tops, together) if tops else Gates({})
-    shards, few = max(16, n_docs // 8_000), min(512, max(3, n_docs // 20_000))
+            if r.j is None:
+                often[r.i] = r.n
+            else:
+                together[r.i, r.j] = r.n
+    best = [i for i in sorted(range(len(tops)), key=lambda i: (-often[i], tops[i]))[:TOP_WORDS] if often[i] >= TOP_SHARE * n_words]
+    gates = Gates.cluster([tops[i] for i in best], together[np.ix_(best, best)]) if best else Gates({})
+    shards, few = max(16, n_docs // 8_000), max(3, n_docs // 20_000)
+    few = min(few, 512 + math.isqrt(few))  # each of these tasks sends a table of fixed size
     parts = common.written(rows.mapInArrow(partial(_parts, gates=gates, shards=shards), PART), "parts")
-    merged = common.written(parts.where("kind = 0").repartition("r").sortWithinPartitions("r", "p").mapInArrow(partial(_merge, n_gates=gates.n), PART), "merged")
+    dealt = parts.where("kind = 0").repartition("r").sortWithinPartitions("r", "p")
+    merged = common.written(dealt.mapInArrow(partial(_merge, n_gates=gates.n), PART), "merged")
     vocabulary = merged.where("kind = 2")
     train_tokens, train_words = vocabulary.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
     own = vocabulary.repartition(few, "r")
     sums = own.mapInArrow(partial(_count_bits, code=code, n_gates=gates.n), SUMS).repartition("predictor", "block").sortWithinPartitions("predictor", "block").mapInArrow(_add_blocks, SUMS)
     tables = [np.zeros((2, 1 << b), np.float32) for b in SLOT_BITS]
     for r in sums.collect():  # the tables' size is fixed
-        tables[r.predictor][:, r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(unpack(r.counts), "<f4").reshape(2, -1)
+        tables[r.predictor][:, r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(unpack(r.counts), "<f8").reshape(2, -1)
     model = Model(code, gates, tables)
     raw = spark.sparkContext.broadcast(model)
     learned = own.mapInArrow(partial(_train, shared=raw, n_gates=gates.n), "i int, x double, n long").groupBy("i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x")).collect()
@@ -537,11 +660,14 @@ def score(docs: DataFrame, train: F.Column, key: str = "doc_id", text: str = "te
         model.weights = flat[: model.weights.size].reshape(model.weights.shape)
         model.map = flat[model.weights.size :].reshape(model.map.shape)
     shared = spark.sparkContext.broadcast(model)
-    both = parts.where("kind = 1").unionByName(merged.where("kind = 0"))
-    out = both.repartition("p").sortWithinPartitions("p", "kind").mapInArrow(partial(_score, shared=shared, train_tokens=train_tokens, train_words=train_words), SCORE)
+    known = dealt.mapInArrow(partial(_merge, n_gates=gates.n, shared=shared), PART)
+    both = parts.where("kind = 1").unionByName(known)
+    classes = spark.sparkContext.broadcast(gates)
+    out = both.repartition("p").sortWithinPartitions("p", "kind").mapInArrow(partial(_score, shared=classes, train_tokens=train_tokens, train_words=train_words), SCORE)
     return out.withColumn("bits_per_byte", -F.col("score") * math.log2(10) / F.col("n_bytes"))
 
 
 def op10_context_mixing(spark, sf_dir):
+    """The contract's columns, n_bytes and bits_per_byte for each row of documents; null texts are the end token alone."""
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
     return score(docs, common.remainder("doc_id", 10) != 0)

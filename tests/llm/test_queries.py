@@ -325,10 +325,16 @@ def test_op10(spark, sf, docs):
         assert r.bits_per_byte == pytest.approx(-r.score * math.log2(10) / r.n_bytes)
 
 
+def test_op10_is_better_than_the_base_on_texts_that_it_has_not_learned_from(spark):
+    got = registry.QUERIES["op10_context_mixing"](spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
+    assert got.score > 0.98 * got.base  # both are negative
+
+
 def test_op10_scores_do_not_depend_on_partitions(spark, docs):
     some = spark.createDataFrame([(k, r.text) for k, r in docs.items() if k < 60], "doc_id long, text string")
-    a, b = ({r.doc_id: r.base_score for r in context_mixing.score(some.repartition(n), F.col("doc_id") % 3 > 0).collect()} for n in (1, 5))
-    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+    a, b = ({r.doc_id: r for r in context_mixing.score(some.repartition(n), F.col("doc_id") % 3 > 0).collect()} for n in (1, 5))
+    assert a.keys() == b.keys() and all(a[k].base_score == pytest.approx(b[k].base_score) for k in a)
+    assert all(a[k].score == pytest.approx(b[k].score, rel=0.01) for k in a)  # weights are averaged over tasks
 
 
 def test_op10_odd(spark, odd, nothing):

@@ -2,6 +2,7 @@
 
 import collections
 import math
+import pickle
 import re
 import zlib
 
@@ -356,8 +357,10 @@ def test_large_counts_stay_finite():
 
 def test_gates_follow_the_text():
     g = context_mixing.Gates({b"the": 0, b"der": 1})
-    assert g.runs(b"x the y the z der q der r".split()) == [(0, 2, 2), (2, 8, 0), (8, 9, 1)]
-    assert g.runs([b""]) == [(0, 1, 2)] and g.runs([]) == [(0, 0, 2)]
+    gates_of = lambda *texts: g.of(np.array([g.classes.get(w, -1) for t in texts for w in t.split()], np.int8), np.cumsum([0] + [len(t.split()) for t in texts])[:-1]).tolist()
+    assert gates_of(b"x the y the z der q der r") == [2, 2, 0, 0, 0, 0, 0, 0, 1]
+    assert gates_of(b"x the y", b"a b", b"der z the z") == [2, 2, 0, 2, 2, 2, 1, 1, 1]  # every text begins anew
+    assert gates_of(b"z") == [2] and g.of(np.zeros(0, np.int8), np.zeros(0, np.int64)).tolist() == []
     together = np.array([[10, 9, 0], [9, 10, 0], [0, 0, 10]])
     c = context_mixing.Gates.cluster([b"a", b"b", b"c"], together).classes
     assert c[b"a"] == c[b"b"] != c[b"c"]
@@ -398,3 +401,35 @@ def test_segments_find_every_pair_of_few_words():
         b = np.array(b, np.uint32)
         if min(len(a), len(b)) < order_minhash.FEW_WORDS and order_minhash.similarity(a, b):
             assert np.array_equal(a, b) or set(order_minhash.keys_of(a).tolist()) & set(order_minhash.keys_of(b).tolist())
+
+
+def test_a_text_s_own_predictors_against_a_plain_loop():
+    rng = np.random.default_rng(2)
+    word = rng.integers(0, 6, 200)
+    spelt = np.log10(rng.dirichlet(np.ones(6)))[word]
+    starts = np.array([0, 1, 40, 41, 160])
+    got = context_mixing.adapted(spelt, word, starts)
+    for a, b in zip(starts, [*starts[1:], 200]):
+        logs, seen, pairs = np.zeros(3), collections.Counter(), collections.Counter()
+        for i in range(a, b):
+            p, t, d = 10 ** spelt[i], sum(seen.values()), len(seen)
+            words = (seen[word[i]] + d * p) / (t + d) if t else p
+            own = words
+            if i > a:
+                n_v = sum(n for (v, _), n in pairs.items() if v == word[i - 1])
+                own = (pairs[word[i - 1], word[i]] + words) / (n_v + 1)
+            x = np.array([p, words, own])
+            w = np.exp(context_mixing.ADAPT * logs)
+            w = context_mixing.FLOOR + (1 - 3 * context_mixing.FLOOR) * w / w.sum()
+            assert got[i] == pytest.approx(np.log10(w @ x), rel=1e-9)
+            logs += np.log(x)
+            seen[word[i]] += 1
+            if i > a:
+                pairs[word[i - 1], word[i]] += 1
+
+
+def test_large_counts_travel_unharmed():
+    model = context_mixing.Model(context_mixing.Code(np.ones(256)), context_mixing.Gates({}), [np.full((2, 1 << b), 5e12, np.float32) for b in context_mixing.SLOT_BITS])
+    again = pickle.loads(pickle.dumps(model))
+    assert all(np.array_equal(x, y) for x, y in zip(model.tables, again.tables))
+    assert np.isfinite(again.log_probabilities([b"word", b""], np.zeros(2, np.int64))).all()
