@@ -33,8 +33,8 @@ def step(edges: DataFrame, ranks: DataFrame, alpha: float = ALPHA) -> DataFrame:
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = ALPHA, epsilon: float = EPSILON, most: int = MOST) -> DataFrame:
-    """(node, r) at the fixpoint. The edges are hashed by src and written once, the ranks after each round."""
-    edges = settle(edges.select("dst", "src", F.col("p").cast("double").alias("p")).repartition("src"), "edges")
+    """(node, r) at the fixpoint. The edges are written once, the ranks after each round; a round shuffles the edges by src unless the ranks are small enough to be broadcast."""
+    edges = settle(edges.select("dst", "src", F.col("p").cast("double").alias("p")), "edges")
     start = nodes.select("node").distinct().select("node", F.lit(1.0).alias("before"), F.lit(1.0).alias("r"))
     moved = lambda s: s.where(differs(F.col("r"), F.col("before"), epsilon)).limit(1).count() == 0
     ranks, _ = iterate(start, lambda s: step(edges, s.select("node", "r"), alpha), moved, most, "ranks")

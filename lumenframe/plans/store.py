@@ -26,9 +26,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one where that is unset (tests, one machine)."""
+    """A new folder below spark.checkpoint.dir; where that is unset, a temporary one on a local master, and an error on a cluster, whose machines would not see it."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("lumenframe.store.dir", "")
     if not root:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lumenframe-")
         spark.conf.set("lumenframe.store.dir", root)
     return f"{root.rstrip('/')}/lumenframe/{name}-{uuid.uuid4().hex}"

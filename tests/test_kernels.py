@@ -218,3 +218,17 @@ def test_repeated_evaluations_agree(spark):
     got, timing = autoencoder.repeated_loss(ex, ["x0", "x1"], autoencoder.autoencoder_rows(), [0.1] * 83, 3, 128)
     want = autoencoder.loss(ex, autoencoder.autoencoder_error(), [0.1] * 83).first().loss
     assert got == pytest.approx([want] * 3) and timing.row()["n"] == 3 and timing.row()["gflops"] > 0
+
+
+def test_the_pair_step_is_the_best_point_of_its_segment():
+    rng = np.random.default_rng(0)
+    for _ in range(500):
+        y_h, y_l = rng.choice([-1.0, 1.0], 2)
+        a_h, a_l = rng.random(2)
+        b_h, b_l, eta = rng.normal(), rng.normal(), float(rng.choice([0.0, rng.random() * 2]))
+        new_h, new_l = svm.pair_step(y_h, y_l, a_h, a_l, b_h, b_l, eta)
+        assert -1e-12 <= new_h <= 1 + 1e-12 and -1e-12 <= new_l <= 1 + 1e-12
+        assert y_h * new_h + y_l * new_l == pytest.approx(y_h * a_h + y_l * a_l)
+        gain = lambda x: y_l * (b_h - b_l) * (x - a_l) - eta * (x - a_l) ** 2 / 2
+        grid = [x for x in np.linspace(0, 1, 201) if -1e-9 <= a_h + y_h * y_l * (a_l - x) <= 1 + 1e-9]
+        assert all(gain(x) <= gain(new_l) + 1e-9 for x in grid)
