@@ -21,7 +21,7 @@ import numpy as np
 KEPT_CHUNKS, KEPT_WORDS = 250_000, 300_000
 LONG = 48
 #: Texts are encoded about so many characters at a time.
-SOME_CHARS = 6_000_000
+SOME_CHARS = 9_000_000
 _LETTER = "a-zªµºß-öø-ÿ"
 _NUMBER = "0-9²³¹¼½¾"
 #: Printable ASCII and Latin-1 without the no-break space: no character of it combines with another or changes under NFC.
