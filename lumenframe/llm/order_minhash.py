@@ -443,17 +443,19 @@ def relabel(rows: DataFrame, by: DataFrame) -> DataFrame:
 def open_links(nodes: DataFrame, local: DataFrame, met: DataFrame, labels: DataFrame) -> DataFrame:
     """Links between the classes of all buckets where several met, written. met: (key, a) with the groups that met under a key.
 
-    A bucket's documents come with their words, so no pair is a row unless it is a link.
+    A document meets its label and its words once, with the list of its open buckets, and only
+    then goes to their cells. No pair is a row unless it is a link.
     """
     keys = met.select("key", F.col("a").alias("rep")).join(labels.withColumnRenamed("node", "rep"), "rep").groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
     keys = common.written(keys, "keys")
-    rows = common.written(local.join(small(keys, keys.count()), "key", "left_semi").select("key", "node", "n_words").join(labels, "node"), "open")
-    own = rows.groupBy("node").agg(F.collect_list("key").alias("keys"))  # as many as a document has keys
+    open_rows = common.written(local.join(small(keys, keys.count()), "key", "left_semi").select("key", "node", "n_words"), "open")
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / CELL, F.sum("n_words") / CELL_WORDS)).cast("int")
-    large = common.written(rows.groupBy("key").agg(blocks.alias("blocks")).where("blocks > 1"), "large")
-    rows = rows.join(small(large, large.count()), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    large = common.written(open_rows.groupBy("key").agg(blocks.alias("blocks")).where("blocks > 1"), "large")
+    sized = open_rows.join(small(large, large.count()), "key", "left").select("node", F.struct("key", F.coalesce("blocks", F.lit(1)).alias("blocks")).alias("bucket"))
+    own = sized.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))  # as many as a document has keys
+    rows = own.join(labels, "node").join(nodes.select(F.col("row").alias("node"), "n_words", "words"), "node")
+    rows = rows.select("node", "n_words", "label", "words", F.col("buckets.key").alias("keys"), F.inline("buckets"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.join(own.join(nodes.select(F.col("row").alias("node"), "words"), "node"), "node")
     rows = rows.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "n_words", "label", "words", "keys")
     found = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n_words", "node").mapInArrow(_open_cells, PAIR)
     return common.written(found.distinct(), "more")
