@@ -1,12 +1,13 @@
 """Quality rules with risk-controlled cutoffs.
 
-Each rule is a ratio that is high in bad texts. Its cutoff in each stratum (a language)
-is chosen on labelled documents so that, with confidence 1 - delta for all strata and rules
-together, the rule rejects at most a share alpha of the good documents of that stratum.
-The bound is the exact binomial test of H0 "the share is over alpha"; strata and rules share
-delta by Bonferroni's correction, and the cutoffs of one rule are tested from lenient to strict
-until one is not rejected (fixed-sequence testing, which needs no further correction).
-Among the cutoffs that pass, the one that rejects most bad labelled documents is taken, the
+Each rule is a ratio that is high in bad texts. The cutoffs of all rules move together, in
+STEPS settings from lenient to strict, and the setting of each stratum (a language) is chosen on
+labelled documents so that, with confidence 1 - delta for all strata together, the rules as a
+whole reject at most a share alpha of the good documents of that stratum. The bound is the exact
+binomial test of H0 "the share is over alpha"; strata share delta by Bonferroni's correction,
+and the settings of a stratum are tested from lenient to strict until one is not rejected
+(fixed-sequence testing, which needs no further correction, as the order is fixed beforehand).
+Among the settings that pass, the one that rejects most bad labelled documents is taken, the
 most lenient of equals. A stratum in which nothing passes has no cutoff.
 """
 
@@ -35,6 +36,15 @@ RULES = {
     "capitals": ("n_capitals / greatest(word_chars, 1)", [0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2]),
     "long_words": ("word_chars / greatest(n_words, 1)", [40.0, 30.0, 25.0, 20.0, 16.0, 14.0, 12.0, 11.0, 10.0, 9.0, 8.5, 8.0]),
 }
+#: Settings of all rules; the last one is the strictest cutoff of each.
+STEPS = 14
+
+
+def cutoff_at(rule: str, step: int) -> float | None:
+    """The cutoff of a rule in a setting; None while the rule does not act yet."""
+    cuts = RULES[rule][1]
+    i = (step + 1) * len(cuts) // STEPS - 1
+    return cuts[i] if i >= 0 else None
 
 
 def text_stats(text: str | None) -> tuple[int, ...]:
@@ -83,7 +93,7 @@ def binomial_tail(k: int, n: int, p: float) -> float:
 
 
 def choose(good: list[int], bad: list[int], n_good: int, alpha: float, level: float) -> int | None:
-    """The place of the cutoff to use. good, bad: labelled documents that each cutoff rejects, lenient to strict."""
+    """The place of the setting to use. good, bad: labelled documents that each setting rejects, lenient to strict."""
     best = None
     for i, k in enumerate(good):
         if n_good == 0 or binomial_tail(k, n_good, alpha) > level:
@@ -94,29 +104,30 @@ def choose(good: list[int], bad: list[int], n_good: int, alpha: float, level: fl
 
 
 def fit_cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05, key: str = "doc_id", stratum: str = "lang", label: str = "quality") -> dict[tuple[str | None, str], float]:
-    """(stratum, rule) -> cutoff.
+    """(stratum, rule) -> cutoff, of the rules that act in the stratum's setting.
 
     stats: the result of add_stats with key and stratum. Documents with several labels count
     once, as bad if one label says so; null labels do not count. Only rows that the fixed base
     rule keeps are counted, as the cutoffs act on those. What comes to the driver is one row of
-    counts for each stratum and rule.
+    counts for each stratum.
     """
     labels = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(label).alias("_label"))
     rows = stats.where(~base_failed()).select(F.col(key).alias("_key"), F.col(stratum).alias("_stratum"), *[F.expr(sql).alias(rule) for rule, (sql, _) in RULES.items()]).join(labels, "_key")
     aggs = [F.count_if(F.col("_label") != 0).alias("n_good"), F.count(F.lit(1)).alias("n")]
-    for rule, (_, cuts) in RULES.items():
-        for i, c in enumerate(cuts):
-            aggs += [F.count_if((F.col(rule) > c) & (F.col("_label") != 0)).alias(f"g_{rule}_{i}"), F.count_if((F.col(rule) > c) & (F.col("_label") == 0)).alias(f"b_{rule}_{i}")]
+    for i in range(STEPS):
+        hit = F.lit(False)
+        for rule in RULES:
+            if (c := cutoff_at(rule, i)) is not None:
+                hit = hit | (F.col(rule) > c)
+        aggs += [F.count_if(hit & (F.col("_label") != 0)).alias(f"g_{i}"), F.count_if(hit & (F.col("_label") == 0)).alias(f"b_{i}")]
     counts = rows.groupBy("_stratum").agg(*aggs).limit(1001).collect()
     if len(counts) > 1000:
         raise ValueError(f"more than 1000 values of {stratum}")
-    level = delta / max(1, len(counts) * len(RULES))
     found = {}
     for r in counts:
-        for rule, (_, cuts) in RULES.items():
-            i = choose([r[f"g_{rule}_{i}"] for i in range(len(cuts))], [r[f"b_{rule}_{i}"] for i in range(len(cuts))], r["n_good"], alpha, level)
-            if i is not None:
-                found[r["_stratum"], rule] = cuts[i]
+        i = choose([r[f"g_{i}"] for i in range(STEPS)], [r[f"b_{i}"] for i in range(STEPS)], r["n_good"], alpha, delta / len(counts))
+        if i is not None:
+            found |= {(r["_stratum"], rule): c for rule in RULES if (c := cutoff_at(rule, i)) is not None}
     return found
 
 

@@ -217,13 +217,49 @@ def test_op6_cutoffs_keep_their_promise(spark):
     stats = spark.createDataFrame(rows, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_capitals long")
     labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(6000)] + [(0, 1), (None, 1)], "doc_id long, quality int")
     cuts = quality_rules.fit_cutoffs(stats, labels)
-    assert {s for s, _ in cuts} == {"en", None} and {r for _, r in cuts} == {"symbols"}
+    assert {s for s, _ in cuts} == {"en", None} and {r for _, r in cuts} <= set(quality_rules.RULES)
     out = quality_rules.apply_cutoffs(stats, cuts).join(labels.where("doc_id > 0"), "doc_id")
+    assert {x for r in out.select("rejected_by").distinct().collect() for x in r[0]} == {"symbols"}
     assert out.where("quality = 1 AND NOT kept").count() <= 0.01 * 4800 and out.where("quality = 0 AND kept").count() == 0
     assert quality_rules.fit_cutoffs(stats, labels.where("false")) == {}
     assert quality_rules.apply_cutoffs(stats.where("false"), cuts).count() == 0
 
 
+def test_op6_verdicts_against_brute_force(spark):
+    """The promise is for all rules together: rules that harm different good documents stop the sequence by their sum."""
+    rng = np.random.default_rng(1)
+    rows, labels = [], []
+    for i in range(4000):
+        lang, good = ["en", "de", None][i % 3], i % 4 > 0
+        harm = rng.random(2) < (0.004 if lang == "en" else 0.0)  # a good text that looks bad to one of two rules
+        symbols = int(rng.integers(40, 300)) if (not good and rng.random() < 0.5) or harm[0] else int(rng.integers(0, 12))
+        capitals = int(rng.integers(100, 500)) if (not good and rng.random() < 0.5) or harm[1] else int(rng.integers(5, 40))
+        rows.append((i, lang, int(rng.integers(30, 120)), 500, symbols, 0, 0, 5, capitals))
+        labels += [(i, int(good))] * (1 + i % 2)
+    names = "doc_id lang n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_capitals".split()
+    stats = spark.createDataFrame(rows, ", ".join(f"{n} {'string' if n == 'lang' else 'long'}" for n in names))
+    cuts = quality_rules.fit_cutoffs(stats, spark.createDataFrame(labels, "doc_id long, quality int"))
+    got = {r.doc_id: r.kept for r in quality_rules.apply_cutoffs(stats, cuts).collect()}
+
+    def hit(r, step):
+        r = dict(zip(names, r))
+        ratios = {"symbols": r["n_symbols"] / 500, "dup_lines": 0, "repeats": 0, "capitals": r["n_capitals"] / 500, "long_words": 500 / r["n_words"]}
+        return any((c := quality_rules.cutoff_at(rule, step)) is not None and x > c for rule, x in ratios.items())
+
+    good_of, steps = dict(labels), {}
+    for lang in ("en", "de", None):
+        own = [r for r in rows if r[1] == lang and r[2] >= 50]
+        n, best = sum(good_of[r[0]] for r in own), 0
+        for step in range(quality_rules.STEPS):
+            k = sum(good_of[r[0]] for r in own if hit(r, step))
+            if sum(math.comb(n, j) * 0.01**j * 0.99 ** (n - j) for j in range(k + 1)) > 0.05 / 3:
+                break
+            bad = sum(not good_of[r[0]] for r in own if hit(r, step))
+            if bad > best:
+                best, steps[lang] = bad, step
+    assert steps and got == {r[0]: r[2] >= 50 and not (r[1] in steps and hit(r, steps[r[1]])) for r in rows}
+
+
 def test_op6_odd(spark, odd, nothing):
     labels = spark.createDataFrame([(1, 1), (1, None), (5, 0)], "doc_id long, quality int")
     assert quality_rules.judge(odd, labels).count() == len(ODD_ROWS) and quality_rules.judge(nothing, labels).count() == 0
