@@ -33,7 +33,7 @@ class Limits:
     loss_tokens: int = 2048
 
 
-@dataclass
+@dataclass(slots=True)
 class Piece:
     item: object  # what the piece is of
     start: int
@@ -47,7 +47,8 @@ class Packer:
     def __init__(self, limits: Limits, cut: bool = True, waiting: int = 2048):
         self.limits, self.cut, self.most = limits, cut, waiting
         self.pieces: list[Piece | None] = []
-        self.demand = np.zeros((2 * waiting, 3), np.float32)
+        self.demand = np.zeros((3, 2 * waiting), np.float32)  # zero where no piece is left
+        self.live = np.zeros(2 * waiting, bool)
         self.alive = 0
         self.cap = np.array([limits.tokens, limits.segments, limits.loss_tokens], np.float32)
 
@@ -72,57 +73,63 @@ class Packer:
             yield self.fill()
 
     def _wait(self, p: Piece) -> None:
-        if len(self.pieces) == len(self.demand):
-            keep = [q for q in self.pieces if q]
-            self.demand[: len(keep)] = self.demand[[i for i, q in enumerate(self.pieces) if q]]
-            self.pieces = keep
-            if len(keep) == len(self.demand):
-                self.demand = np.concatenate([self.demand, np.zeros_like(self.demand)])
-        self.demand[len(self.pieces)] = (p.length, 1, p.loss)
+        if len(self.pieces) == len(self.live):
+            at = np.flatnonzero(self.live)
+            n = len(at)
+            if n == len(self.live):
+                self.demand = np.concatenate([self.demand, np.zeros_like(self.demand)], axis=1)
+                self.live = np.concatenate([self.live, np.zeros_like(self.live)])
+            self.pieces = [self.pieces[i] for i in at.tolist()]
+            self.demand[:, :n] = self.demand[:, at]
+            self.demand[:, n:] = 0
+            self.live[:] = np.arange(len(self.live)) < n
+        n = len(self.pieces)
+        self.demand[:, n] = p.length, 1, p.loss
+        self.live[n] = True
         self.pieces.append(p)
         self.alive += 1
 
+    def _take(self, i: int) -> Piece:
+        p = self.pieces[i]
+        self.pieces[i] = None
+        self.live[i] = False
+        self.demand[:, i] = 0
+        self.alive -= 1
+        return p
+
     def fill(self) -> list[Piece]:
         """One sequence from the waiting pieces."""
         out: list[Piece] = []
         left = self.cap.copy()
         n = len(self.pieces)
-        d = self.demand[:n]
-        alive = np.fromiter((q is not None for q in self.pieces), bool, n)
-        weight = 1 / np.maximum(d[alive].sum(0), 1) / self.cap  # demands count by how scarce what they need is
-        while left.min() >= 0 and left[0] > 0 and left[1] > 0 and self.alive:
-            dot = d @ (left * weight)
-            fits = alive & (d <= left).all(1)
+        d, live = self.demand[:, :n], self.live[:n]
+        tokens, loss = d[0], d[2]
+        weight = 1 / np.maximum(d.sum(1), 1) / self.cap  # demands count by how scarce what they need is
+        while left[0] > 0 and left[1] > 0 and left[2] >= 0 and self.alive:
+            need = left * weight
             last = self.cut and left[1] == 1
-            if last:
-                fits &= d[:, 0] == left[0]
-            if fits.any():
-                i = int(np.where(fits, dot, -1).argmax())
-                p = self.pieces[i]
-                self.pieces[i] = None
-                alive[i] = False
-                self.alive -= 1
-            elif self.cut and (wide := alive & (d[:, 0] > 1)).any():
-                if last and (longer := wide & (d[:, 0] >= left[0])).any():
+            fits = np.flatnonzero(live & ((tokens == left[0]) if last else (tokens <= left[0])) & (loss <= left[2]))
+            if len(fits):
+                p = self._take(int(fits[(need @ d[:, fits]).argmax()]))
+            elif self.cut and len(wide := np.flatnonzero(tokens > 1)):
+                if last and len(longer := wide[tokens[wide] >= left[0]]):
                     wide = longer
-                i = int(np.where(wide, dot, -1).argmax())
+                i = int(wide[(need @ d[:, wide]).argmax()])
                 whole = self.pieces[i]
                 size = int(min(left[0], whole.length - 1, left[2] + 1))
                 if last and whole.length < left[0]:  # no piece is as long as the gap: take the longest as it is
-                    i = int(np.where(wide, d[:, 0], -1).argmax())
+                    i = int(wide[tokens[wide].argmax()])
                     whole = self.pieces[i]
                     if whole.loss > left[2]:
                         break
                     size = whole.length
                 p = Piece(whole.item, whole.start, size, min(whole.loss, size - 1))
                 if size == whole.length:
-                    self.pieces[i] = None
-                    alive[i] = False
-                    self.alive -= 1
+                    self._take(i)
                 else:
                     rest = whole.length - size
                     self.pieces[i] = Piece(whole.item, whole.start + size, rest, max(0, min(rest - 1, whole.loss - p.loss - 1)))
-                    d[i] = (rest, 1, self.pieces[i].loss)
+                    d[:, i] = rest, 1, self.pieces[i].loss
             else:
                 break
             out.append(p)
