@@ -4,7 +4,9 @@ import duckdb
 import numpy as np
 import pytest
 
-from lumenframe.plans import catalog, oracles
+from lumenframe.plans import catalog, files, oracles
+
+QUERIES, SQL = catalog.QUERIES | files.QUERIES, oracles.SQL | files.SQL
 
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
 
@@ -22,12 +24,12 @@ def duck(sf):
     return con
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n in oracles.SQL])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n in SQL])
 def test_query(spark, sf, duck, name):
-    df = catalog.QUERIES[name](spark, sf)
+    df = QUERIES[name](spark, sf)
     cols = sorted(df.columns)
     got = sorted((tuple(same(r[c]) for c in cols) for r in df.collect()), key=repr)
-    cur = duck.execute(oracles.SQL[name])
+    cur = duck.execute(SQL[name])
     names = [x[0] for x in cur.description]
     assert sorted(names) == cols
     want = sorted((tuple(same(r[names.index(c)]) for c in cols) for r in cur.fetchall()), key=repr)
