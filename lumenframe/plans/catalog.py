@@ -278,12 +278,17 @@ def ae_predict(s, d):
     return out.select("id", "x0", "x1", F.round("o0", 6).alias("o0"), F.round("o1", 6).alias("o1"))
 
 
+def fit_examples(s, d, linear):
+    """Generated examples, as many as there are events."""
+    return settle(generators.autoencoder(s, inputs.read(s, d, "events").count(), 0.01, linear), "examples")
+
+
 def _fit(linear):
     def query(s, d):
-        """The loss before and after, and that it fell."""
-        ex = settle(generators.autoencoder(s, inputs.read(s, d, "events").count(), 0.01, linear), "examples")
-        f = autoencoder.fit(ex, ["x0", "x1"], autoencoder.autoencoder_rows(activation="linear" if linear else "elliott"), 83, most=161, seed=1)
-        return s.createDataFrame([(len(f.parameters), f.loss < f.trace[0], all(a >= b for a, b in zip(f.trace, f.trace[1:])))], "n_parameters int, fell boolean, monotone boolean")
+        """(name, place, value): the fitted parameters, the loss of the start and that of the fit, after the operator's default number of evaluations at most."""
+        f = autoencoder.fit(fit_examples(s, d, linear), ["x0", "x1"], autoencoder.autoencoder_rows(activation="linear" if linear else "elliott"), 83, seed=1)
+        rows = [("start_loss", 0, f.trace[0]), ("loss", 0, f.loss), *(("parameter", i, v) for i, v in enumerate(f.parameters))]
+        return s.createDataFrame([(n, i, float(v)) for n, i, v in rows], "name string, place int, value double")
 
     return query
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from ..functions import networks
 from ..functions.counters import COUNTERS
 from ..operators.report import THREADS
 from .catalog import CLUSTERS, GAMMA, PARAMETERS, PLACES, XOR_PARAMETERS
@@ -170,8 +169,6 @@ SELECT a.id AS a_id, b.id AS b_id, round(sum(a.v * b.v), 6) AS dot FROM l a JOIN
     "ae_loss": f"WITH {_net('elliott')} SELECT round(sqrt(sum(e * e)), 6) AS loss FROM er",
     "ae_loss_sharded": f"WITH {_net('elliott')}, s AS (SELECT id % 4 AS k, sqrt(sum(e * e)) AS r FROM er GROUP BY 1) SELECT round(sum(r), 6) AS loss FROM s",
     "ae_predict": f"WITH {_net('elliott')} SELECT id, x0, x1, round(o0, 6) AS o0, round(o1, 6) AS o1 FROM o",
-    "ae_fit_linear": f"SELECT CAST({networks.n_parameters(networks.AUTOENCODER)} AS INT) AS n_parameters, true AS fell, true AS monotone",
-    "ae_fit_elliott": f"SELECT CAST({networks.n_parameters(networks.AUTOENCODER)} AS INT) AS n_parameters, true AS fell, true AS monotone",
     "xor_forward": f"WITH {_xor()} SELECT id, round(o0, 6) AS o0 FROM xo",
     "xor_loss": f"WITH {_xor()} SELECT round(sqrt(sum((o0 - y0) * (o0 - y0))), 6) AS loss FROM xo",
     "gen_xor": "SELECT CAST(n_nationkey * 4 + k AS BIGINT) AS id, x0, x1, y0 FROM nation CROSS JOIN (VALUES (0, 0.1e0, 0.1e0, 0.1e0), (1, 0.1e0, 0.9e0, 0.9e0), (2, 0.9e0, 0.1e0, 0.9e0), (3, 0.9e0, 0.9e0, 0.1e0)) t(k, x0, x1, y0)",

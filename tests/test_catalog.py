@@ -44,6 +44,24 @@ def test_the_rest_has_rows(spark, sf):
     assert all(-1e-9 <= r.alpha <= 1 + 1e-9 for r in a) and abs(sum(r.alpha * r.y for r in a)) < 0.05
 
 
+@pytest.mark.parametrize("linear", [True, False])
+def test_fitted_parameters_have_their_loss(spark, sf, linear):
+    """The loss is computed again from the returned parameters in plain numpy, and is far below the start's."""
+    name = "linear" if linear else "elliott"
+    rows = catalog.QUERIES[f"ae_fit_{name}"](spark, sf).collect()
+    p = np.array([r.value for r in sorted((r for r in rows if r.name == "parameter"), key=lambda r: r.place)])
+    start, loss = (next(r.value for r in rows if r.name == n) for n in ("start_loss", "loss"))
+    x = np.array([(r.x0, r.x1) for r in catalog.fit_examples(spark, sf, linear).collect()])
+    g = (lambda z: z) if linear else (lambda z: z / (1 + np.abs(z)))
+    h = g(p[:10] + x[:, :1] * p[10:20] + x[:, 1:] * p[20:30])
+    code = p[30] + h @ p[31:41]
+    h = g(p[41:51] + code[:, None] * p[51:61])
+    out = np.stack([p[61] + h @ p[62:72], p[72] + h @ p[73:83]], axis=1)
+    assert len(p) == 83 and loss < 0.8 * start
+    e = np.square(out - x).sum(1)  # an example's error, which the loss squares again, as the SQL of ae_loss has it
+    assert np.sqrt((e * e).sum()) == pytest.approx(loss, rel=1e-6)
+
+
 def test_sparse_products_cover_all_rows(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
     x = np.array([r.embedding for r in rows], np.float32).astype(np.float64)
