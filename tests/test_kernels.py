@@ -37,6 +37,47 @@ def test_similarity_matches_dense_matrices(spark):
         assert x.sim == pytest.approx(want[x.i, x.j], abs=1e-12)
 
 
+@pytest.mark.parametrize("as_coded", [False, True])
+def test_similarity_over_several_blocks(spark, as_coded):
+    """Blocks of 3 of 11 items, with repeated ratings, a null user, null items, an item nobody rated and users named by text, against plain loops; no row for a pair is dealt."""
+    rng = np.random.default_rng(8)
+    data = [(int(i), f"u{u}", float(x)) for i, u, x in zip(rng.integers(0, 10, 60), rng.integers(0, 7, 60), rng.integers(1, 6, 60))] + [(2, None, 3.0), (None, "u1", 4.0), (4, "u1", 0.0)]
+    r = spark.createDataFrame(data, "item int, user string, rating double")
+    got = cf.similarity(r, spark.createDataFrame([(i,) for i in [*range(11), None]], "item int"), as_coded=as_coded, block=3)
+    assert not any(f"hashpartitioning({k}" in got._jdf.queryExecution().toString() for k in "ij")
+    of = [[(u, x) for i, u, x in data if i == k and x] for k in range(11)]
+    c, s, q = (np.array([sum(f(x) for _, x in o) for o in of], float) for f in (lambda x: 1, lambda x: x, lambda x: x * x))
+    n, mean = 7, s / np.maximum(c, 1)
+    norm = q - mean * mean * (2 * c - n)
+    want = {}
+    for i in range(11):
+        for j in range(i, 11):
+            d = sum(x * y for u, x in of[i] for w, y in of[j] if u is not None and u == w)
+            coded = as_coded and i != j
+            num, den = (d - mean[i] * s[j], norm[i] * q[j]) if coded else (d - mean[i] * mean[j] * (c[i] + c[j] - n), norm[i] * norm[j])
+            want[i, j] = num / math.sqrt(den) if den > 0 else 0.0
+    found = {(x.i, x.j): x.sim for x in got.collect()}
+    assert found.keys() == want.keys() and got.count() == 66
+    assert [found[k] for k in want] == pytest.approx(list(want.values()), abs=1e-12)
+
+
+@pytest.mark.parametrize("include_self", [False, True])
+@pytest.mark.parametrize("block", [3, 100])
+def test_nearest_is_top_k_of_similarity(spark, include_self, block):
+    """Items 10 to 19 copy 0 to 9, so equals meet at the last rank."""
+    rng = np.random.default_rng(4)
+    some = [(i, u, float(rng.integers(1, 6))) for i in range(10) for u in range(12) if rng.random() < 0.5]
+    r = spark.createDataFrame(some + [(i + 10, u + 50, x) for i, u, x in some], "item int, user int, rating double")
+    want = rows(cf.top_k(cf.similarity(r), 4, include_self, 9), "item", "rank", "nbr", "sim")
+    assert len(want) == 80 and rows(cf.nearest(r, k=4, include_self=include_self, digits=9, block=block), "item", "rank", "nbr", "sim") == want
+
+
+def test_rounding_is_that_of_spark(spark):
+    x = np.concatenate([np.array([0.1234565, 2.5e-6, -2.5e-6, 0.9999995, 1e-9, -1e-9, 1.0000005, 123.4567895]), (np.arange(-500, 500) * 2 + 1) / 2e6, np.random.default_rng(1).normal(size=2000)])
+    t = spark.createDataFrame([(float(a),) for a in x], "x double")
+    assert [a.r for a in t.select(F.round("x", 6).alias("r")).collect()] == (cf.half_up(x, 6) / 1e6).tolist()
+
+
 def test_predictions_fall_back_to_the_mean(spark):
     train = spark.createDataFrame([(0, 0, 4.0), (0, 1, 2.0), (1, 0, 5.0)], "item int, user int, rating double")
     test = spark.createDataFrame([(0, 7, 1.0), (1, 1, 1.0), (9, 0, 1.0)], "item int, user int, rating double")
