@@ -185,6 +185,25 @@ def test_svm_conditions_and_the_distributed_steps(spark):
     assert np.mean([l == yy for (_, l), yy in zip(right, y)]) > 0.8
 
 
+@pytest.mark.parametrize("density, features", [(0.6, 8), (0.05, 200)])
+def test_sparse_products_in_blocks(spark, density, features):
+    """Dense and sparse cells, repeated entries, a null value, a null id, a null feature and named ids, against plain loops; no row for a pair is dealt."""
+    rng = np.random.default_rng(2)
+    left = [(f"r{i}", f, float(rng.normal())) for i in range(30) for f in range(features) if rng.random() < density]
+    left += [left[0], ("only", 3, None), (None, 3, 2.0), ("lost", None, 1.0)]
+    right = [(i, f, float(rng.normal())) for i in range(40) for f in range(features) if rng.random() < density] + [(77, 3, 0.0), (78, features + 5, 1.0)]
+    got = svm.sparse_dot(spark.createDataFrame(left, "id string, idx int, val double"), spark.createDataFrame(right, "id long, idx int, val double"), entries=25)
+    assert "hashpartitioning(a_id" not in got._jdf.queryExecution().toString()
+    want = {}
+    for i, f, x in left:
+        for j, g, y in right:
+            if f is not None and f == g:
+                want.setdefault((i, j), []).extend([] if x is None else [x * y])
+    found = {(r.a_id, r.b_id): r.dot for r in got.collect()}
+    assert found.keys() == want.keys() and got.count() == len(want) and found["only", 77] is None
+    assert all(found[k] == pytest.approx(sum(w), abs=1e-12) if w else found[k] is None for k, w in want.items())
+
+
 def test_kernels(spark):
     r = spark.createDataFrame([([1.0, 2.0], [3.0, 4.0])], "a array<double>, b array<double>")
     got = r.select(v.rbf(F.col("a"), F.col("b"), 0.5).alias("r"), v.linear_kernel(F.col("a"), F.col("b")).alias("l"), v.polynomial_kernel(F.col("a"), F.col("b"), 2, 1, 2).alias("p"), v.sigmoid_kernel(F.col("a"), F.col("b"), 0.1, 0).alias("s"), v.squared_distance(F.col("a"), F.col("b")).alias("d")).first()
