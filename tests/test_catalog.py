@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from lumenframe.plans import catalog, files, oracles
+from lumenframe.plans import catalog, files, inputs, oracles
 
 QUERIES, SQL = catalog.QUERIES | files.QUERIES, oracles.SQL | files.SQL
 
@@ -62,6 +62,13 @@ def test_fitted_parameters_have_their_loss(spark, sf, linear):
     assert np.sqrt((e * e).sum()) == pytest.approx(loss, rel=1e-6)
 
 
+def test_stored_ratings_are_split_alike(spark, sf):
+    """Queries that read the ratings several times join them once: what they read has no join left, and the same rows."""
+    for stored, plain in zip(inputs.stored_split(spark, sf), inputs.split_ratings(spark, sf)):
+        assert "Join" not in stored._jdf.queryExecution().toString()
+        assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, plain.collect()))
+
+
 def test_sparse_products_cover_all_rows(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
     x = np.array([r.embedding for r in rows], np.float32).astype(np.float64)
