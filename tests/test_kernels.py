@@ -185,6 +185,34 @@ def test_svm_conditions_and_the_distributed_steps(spark):
     assert np.mean([l == yy for (_, l), yy in zip(right, y)]) > 0.8
 
 
+def test_svm_by_working_sets(spark, monkeypatch):
+    """The gap of the whole problem is closed, by plain loops over copies, near copies and noise; with few passes, where each step took some before."""
+    from lumenframe.operators import svm_blocks
+
+    monkeypatch.setattr(svm_blocks, "FILE_ROWS", 100)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 6))
+    x[100:160] = x[0] + 0.01 * rng.normal(size=(60, 6))
+    x[160:180] = x[1]
+    y = np.where(rng.random(400) < 0.4, 1.0, -1.0)
+    t = spark.createDataFrame([(7 * i, float(y[i]), x[i].tolist()) for i in range(400)], "id long, y double, features array<double>").repartition(3)
+    k = np.exp(-0.1 * np.square(x[:, None] - x).sum(2))
+    spark.sparkContext.setJobGroup("sets", "")
+    far = svm.train(t, gamma=0.1, local_rows=0)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("sets"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert far.iterations > 100 and jobs < 100
+    a, f = (np.array([r[c] for r in far.alphas.orderBy("id").collect()]) for c in ("alpha", "f"))
+    g = k @ (a * y) - y
+    up, down = ((y > 0) & (a < 1 - 1e-5)) | ((y < 0) & (a > 1e-5)), ((y > 0) & (a > 1e-5)) | ((y < 0) & (a < 1 - 1e-5))
+    assert np.abs(f - g).max() < 1e-9 and g[down].max() - g[up].min() <= 2e-3 + 1e-9
+    assert abs((a * y).sum()) < 1e-9 and a.min() > -1e-9 and a.max() < 1 + 1e-9 and far.rho == pytest.approx((g[down].max() + g[up].min()) / 2)
+    near = svm.train(t, gamma=0.1)
+    b = np.array([r.alpha for r in near.alphas.orderBy("id").collect()])
+    dual = lambda a: a.sum() - (a * y) @ k @ (a * y) / 2
+    assert dual(a) == pytest.approx(dual(b), rel=1e-4) and rows(far.support, "id")[:1] == [(7 * int(np.flatnonzero(a > 1e-5)[0]),)]
+
+
 @pytest.mark.parametrize("density, features", [(0.6, 8), (0.05, 200)])
 def test_sparse_products_in_blocks(spark, density, features):
     """Dense and sparse cells, repeated entries, a null value, a null id, a null feature and named ids, against plain loops; no row for a pair is dealt."""
