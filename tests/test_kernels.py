@@ -185,6 +185,22 @@ def test_svm_conditions_and_the_distributed_steps(spark):
     assert np.mean([l == yy for (_, l), yy in zip(right, y)]) > 0.8
 
 
+def test_settled_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from lumenframe.plans.store import SWEEP, settle
+
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {b for b in blocks.getAllBlocks().mkString(" ").split() if b.startswith("shuffle_")}
+    was, before = spark.conf.get(SWEEP), files()
+    t = settle(spark.range(10_000, numPartitions=3).groupBy((F.col("id") % 100).alias("k")).count(), "counts")
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(SWEEP) == was
+    assert t.agg(F.sum("count")).first()[0] == 10_000 and t.count() == 100
+
+
 def test_svm_by_working_sets(spark, monkeypatch):
     """The gap of the whole problem is closed, by plain loops over copies, near copies and noise; with few passes, where each step took some before."""
     from lumenframe.operators import svm_blocks
