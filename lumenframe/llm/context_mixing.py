@@ -32,6 +32,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zlib
 import zstandard
 from pyspark import TaskContext
@@ -52,6 +53,8 @@ LEAST = 2
 CONFIDENCES, CONFIDENCES_SHORT = 6, 4
 MAP_STEPS = 33
 PART_BYTES, BLOB_BYTES = 32_000_000, 4_000_000
+#: Texts of a part are counted by so many bytes.
+SOME_BYTES = 6_000_000
 BLOCK = 1 << 16
 RATE = 0.03
 #: How fast the weights of a text's own predictors move, and the least weight of each.
@@ -73,6 +76,17 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split() if text else []  # bytes: A-Z alone, and the six ASCII spaces
 
 
+def numbered(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of texts of words with a space between two: the tokens of each, the end among them; each token's place among the distinct ones; and these. No word becomes an object."""
+    buf = np.frombuffer(b"".join([raw + b"  " if raw else b" " for raw in raws]), np.uint8)
+    space = buf == 32
+    ends = np.flatnonzero(space)
+    at = np.concatenate([[0], ends - np.arange(len(ends))]).astype(np.int32)
+    tokens = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(at), pa.py_buffer(np.compress(~space, buf))])
+    d = tokens.dictionary_encode()
+    return np.array([raw.count(b" ") + 2 if raw else 1 for raw in raws], np.int64), d.indices.to_numpy().astype(np.int64), d.dictionary
+
+
 def pack(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(data)
 
@@ -335,42 +349,32 @@ class _Part:
     """The texts of a part, its distinct words, and how often each occurs in training and whether it occurs at all, by gate."""
 
     def __init__(self, gates: Gates):
-        self.gates, self.index, self.words, self.classes = gates, {}, [], []
-        self.counts = np.zeros((gates.n, 0), np.int32)
-        self.seen = np.zeros((gates.n, 0), bool)
+        self.gates, self.found = gates, []  # found: distinct words, and gate, place, count of what is seen
+        self.names, classes = pa.array(list(gates.classes), pa.binary()), list(gates.classes.values())
+        self.classes = np.array([*classes, -1], np.int8)
         self.docs, self.size, self.pending, self.held = [], 0, [], 0
 
     def add(self, key, text: str | None, train: bool) -> None:
-        w = words(text)
-        raw = b" ".join(w)
+        raw = b" ".join(words(text))
         self.docs.append(HEAD.pack(key or 0, key is None, train) + len(raw).to_bytes(8, "little") + raw)
         self.size += len(raw)
-        w.append(b"")
-        self.pending.append((w, train))
-        self.held += len(w)
-        if self.held > 200_000:
+        self.pending.append((raw, train))
+        self.held += len(raw)
+        if self.held > SOME_BYTES:
             self.count()
 
     def count(self) -> None:
         """Counts the pending texts by gate."""
         if not self.pending:
             return
-        index = self.index
-        flat = [w for own, _ in self.pending for w in own]
-        for w in set(flat) - index.keys():
-            index[w] = len(index)
-            self.words.append(w)
-            self.classes.append(self.gates.classes.get(w, -1))
-        at = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
-        lengths = np.array([len(own) for own, _ in self.pending])
-        gate = self.gates.of(np.array(self.classes, np.int8)[at], np.cumsum(lengths) - lengths)
-        more = len(index) - self.counts.shape[1]
-        self.counts, self.seen = (np.pad(x, ((0, 0), (0, more))) for x in (self.counts, self.seen))
-        cell = gate.astype(np.int64) * len(index) + at
-        self.seen.reshape(-1)[cell] = True
-        train = np.repeat([t for _, t in self.pending], lengths)
-        cells, n = np.unique(cell[train], return_counts=True)
-        self.counts.reshape(-1)[cells] += n.astype(np.int32)
+        lengths, at, distinct = numbered([raw for raw, _ in self.pending])
+        name = pc.index_in(distinct, value_set=self.names).fill_null(-1).to_numpy()
+        gate = self.gates.of(self.classes[name][at], np.cumsum(lengths) - lengths)
+        cell = gate.astype(np.int64) * len(distinct) + at
+        train = np.repeat(np.array([t for _, t in self.pending], bool), lengths)
+        seen = np.flatnonzero(np.bincount(cell))
+        n = np.bincount(cell[train], minlength=self.gates.n * len(distinct))[seen]
+        self.found.append((distinct, (seen // len(distinct)).astype(np.int8), (seen % len(distinct)).astype(np.int32), n.astype(np.int32)))
         self.pending, self.held = [], 0
 
     def texts(self, p: int):
@@ -381,12 +385,21 @@ class _Part:
     def vocabulary(self, p: int, shards: int):
         """A row for each shard that has words of the part: the words and, gate by gate, twice the count and one more if it is seen."""
         self.count()
-        shard = np.fromiter((zlib.crc32(w) % shards for w in self.words), np.int64, len(self.words))
+        if not self.found:
+            return
+        d = pa.concat_arrays([x[0] for x in self.found]).dictionary_encode()
+        number, words, done = d.indices.to_numpy(), d.dictionary.to_pylist(), 0
+        both = np.zeros((self.gates.n, len(words)), np.int32)
+        for distinct, gate, at, n in self.found:
+            at = number[done : done + len(distinct)][at]
+            both[gate, at] = (both[gate, at] & ~1) + 2 * n + 1
+            done += len(distinct)
+        shard = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % shards
         order = np.argsort(shard, kind="stable")
-        both = (self.counts * 2 + self.seen)[:, order].astype("<i4")
+        both = both[:, order].astype("<i4", copy=False)
         for own in np.split(np.arange(len(order)), np.flatnonzero(np.diff(shard[order])) + 1):
             if len(own):
-                yield _row(0, p, int(shard[order[own[0]]]), pack(b"\n".join(self.words[i] for i in order[own].tolist())), pack(both[:, own].tobytes()), len(own))
+                yield _row(0, p, int(shard[order[own[0]]]), pack(b"\n".join([words[i] for i in order[own].tolist()])), pack(both[:, own].tobytes()), len(own))
 
 
 def _parts(batches, gates: Gates, shards: int):
@@ -512,8 +525,15 @@ def _train(batches, shared, n_gates: int):
 
 def earlier(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How often each key occurred before its place, and a number for each distinct key."""
-    order = np.argsort(key, kind="stable")
-    k = key[order]
+    bits = len(key).bit_length()
+    if len(key) and key.min() >= 0 and int(key.max()).bit_length() + bits < 63:  # place and key in one number: quicker to sort
+        k = key << bits | np.arange(len(key))
+        k.sort()
+        order = k & ((1 << bits) - 1)
+        k >>= bits
+    else:
+        order = np.argsort(key, kind="stable")
+        k = key[order]
     first = np.ones(len(k), bool)
     first[1:] = k[1:] != k[:-1]
     group = np.cumsum(first) - 1

@@ -433,3 +433,33 @@ def test_large_counts_travel_unharmed():
     again = pickle.loads(pickle.dumps(model))
     assert all(np.array_equal(x, y) for x, y in zip(model.tables, again.tables))
     assert np.isfinite(again.log_probabilities([b"word", b""], np.zeros(2, np.int64))).all()
+
+
+def test_parts_count_words_by_gate(monkeypatch):
+    """Words numbered without becoming objects, in several rounds, against plain loops over gates and counters."""
+    monkeypatch.setattr(context_mixing, "SOME_BYTES", 300)
+    rng = np.random.default_rng(4)
+    gates = context_mixing.Gates({b"a": 0, b"bb": 1, b"c": 0})
+    vocabulary = ["a", "BB", "c", "\u00e4x", "d\u2003d", "e" * 300, "f\x00"]
+    texts = [None, "", " \t ", "a"] + ["\n".join(rng.choice(vocabulary, rng.integers(0, 40))) for _ in range(60)]
+    raws = [b" ".join(context_mixing.words(t)) for t in texts]
+    lengths, at, distinct = context_mixing.numbered(raws)
+    names, tokens = distinct.to_pylist(), [[*context_mixing.words(t), b""] for t in texts]
+    assert [names[i] for i in at] == [w for own in tokens for w in own] and lengths.tolist() == [len(own) for own in tokens] and len(set(names)) == len(names)
+    part, want, seen = context_mixing._Part(gates), {}, set()
+    for i, (t, own) in enumerate(zip(texts, tokens)):
+        part.add(i, t, i % 3 > 0)
+        classes = np.array([gates.classes.get(w, -1) for w in own], np.int8)
+        for w, g in zip(own, gates.of(classes, np.array([0])).tolist()):
+            seen.add((w, g))
+            want[w, g] = want.get((w, g), 0) + (i % 3 > 0)
+    got = {}
+    for row in part.vocabulary(0, 3):
+        own = context_mixing.unpack(row.column(3)[0].as_py()).split(b"\n")
+        both = np.frombuffer(context_mixing.unpack(row.column(4)[0].as_py()), "<i4").reshape(gates.n, -1)
+        got |= {(w, g): int(both[g, j]) for j, w in enumerate(own) for g in range(gates.n) if both[g, j]}
+    assert len(part.found) > 1 and got == {k: 2 * n + 1 for k, n in want.items()} and seen == got.keys()
+    key = rng.integers(0, 9, 500)
+    for k in (key, key - 4, key << 56):  # small, negative and too large keys
+        n, number = context_mixing.earlier(k)
+        assert n.tolist() == [int((k[:i] == x).sum()) for i, x in enumerate(k)] and number.tolist() == np.unique(k, return_inverse=True)[1].tolist()
