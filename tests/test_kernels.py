@@ -1,6 +1,7 @@
 """Small cases computed by hand, limits and invariants."""
 
 import math
+from functools import partial
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from lumenframe.functions import networks
 from lumenframe.functions import vectors as v
 from lumenframe.operators import autoencoder, cf, kmeans, naive_bayes, pagerank, report, sorting, svm
+from lumenframe.plans import catalog, inputs
 from lumenframe.sources import generators
 
 
@@ -229,6 +231,20 @@ def test_svm_by_working_sets(spark, monkeypatch):
     assert dual(a) == pytest.approx(dual(b), rel=1e-4) and rows(far.support, "id")[:1] == [(7 * int(np.flatnonzero(a > 1e-5)[0]),)]
 
 
+def test_svm_train_by_working_sets(spark, monkeypatch):
+    """The query's coefficients, where the driver holds no rows, close the gap over all rows; with few passes, where each step took some before."""
+    monkeypatch.setattr(svm, "train", partial(svm.train, local_rows=0))
+    spark.sparkContext.setJobGroup("train", "")
+    a = {r.id: r.alpha for r in catalog.svm_train(spark, "/root/testdata/sf0.001").collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("train"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    data = inputs.labelled(spark, "/root/testdata/sf0.001").orderBy("id").collect()
+    x, y, a = np.array([r.features for r in data], float), np.array([r.y for r in data]), np.array([a[r.id] for r in data])
+    g = np.exp(-catalog.GAMMA * np.square(x[:, None] - x).sum(2)) @ (a * y) - y
+    up, down = np.where(y > 0, a < 1 - 1e-4, a > 1e-4), np.where(y > 0, a > 1e-4, a < 1 - 1e-4)
+    assert jobs < 100 and g[down].max() - g[up].min() < 4e-3  # the coefficients are rounded
+
+
 @pytest.mark.parametrize("density, features", [(0.6, 8), (0.05, 200)])
 def test_sparse_products_in_blocks(spark, density, features):
     """Dense and sparse cells, repeated entries, a null value, a null id, a null feature and named ids, against plain loops; no row for a pair is dealt."""
