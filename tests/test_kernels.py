@@ -231,6 +231,42 @@ def test_svm_by_working_sets(spark, monkeypatch):
     assert dual(a) == pytest.approx(dual(b), rel=1e-4) and rows(far.support, "id")[:1] == [(7 * int(np.flatnonzero(a > 1e-5)[0]),)]
 
 
+def test_svm_of_copies_by_working_sets(spark, monkeypatch):
+    """Copies of a row count as often as they occur, are filled one after the other and close the gap over all rows; the kernel is computed for one of them."""
+    from lumenframe.operators import svm_blocks
+
+    monkeypatch.setattr(svm_blocks, "FILE_ROWS", 10)
+    rng = np.random.default_rng(9)
+    kind = rng.permutation(np.repeat(np.arange(50), rng.integers(1, 40, 50)))
+    x, sign = rng.normal(size=(50, 3)).round(1), np.where(rng.random(50) < 0.5, 1.0, -1.0)
+    x[0], x[1], x[2:4], sign[2:4] = [0.0, 1.0, 2.0], [0.0, 1.0, 2.5], x[2], [1.0, -1.0]  # two that differ in one number, and one that has both labels
+    y, n = sign[kind], len(kind)
+    zero = np.where((kind == 0) & (np.arange(n) % 2 == 0), -0.0, x[kind][:, 0])
+    t = spark.createDataFrame([(3 * i, float(y[i]), [float(zero[i]), *x[kind[i]][1:].tolist()]) for i in range(n)], "id long, y double, features array<double>").repartition(4)
+    sent, add = [], svm_blocks.Rows.add
+    monkeypatch.setattr(svm_blocks.Rows, "add", lambda self, f, b, *more: sent.append(len(b)) or add(self, f, b, *more))
+    m = svm.train(t, gamma=0.3, local_rows=0)
+    got = m.alphas.orderBy("id").collect()
+    a, f = (np.array([r[c] for r in got]) for c in ("alpha", "f"))
+    assert [r.id for r in got] == [3 * i for i in range(n)] and [r.y for r in got] == y.tolist()
+    assert all((np.diff(a[kind == i]) <= 0).all() and ((a[kind == i] > 0) & (a[kind == i] < 1)).sum() <= 1 and len(set(f[kind == i])) == 1 for i in range(50))
+    assert max(sent) <= 50
+    k = np.exp(-0.3 * np.square(x[kind][:, None] - x[kind]).sum(2))
+    g = k @ (a * y) - y
+    up, down = np.where(y > 0, a < 1 - 1e-5, a > 1e-5), np.where(y > 0, a > 1e-5, a < 1 - 1e-5)
+    assert np.abs(f - g).max() < 1e-9 and g[down].max() - g[up].min() <= 2e-3 + 1e-9
+    assert abs((a * y).sum()) < 1e-9 and a.min() > -1e-9 and a.max() < 1 + 1e-9
+    b = np.array([r.alpha for r in svm.train(t, gamma=0.3).alphas.orderBy("id").collect()])
+    dual = lambda a: a.sum() - (a * y) @ k @ (a * y) / 2
+    assert dual(a) == pytest.approx(dual(b), rel=1e-3) and m.support.count() == int((a > 1e-5).sum())
+    monkeypatch.setattr(svm_blocks, "BLOCK", 4)  # several blocks and turns of columns
+    state, rho, _ = svm_blocks.train(svm.prepared(t), 0.3, 1.0, 1e-3, 1e-5, working=16, columns=7)
+    a, f = (np.array([r[c] for r in state.orderBy("id").collect()]) for c in ("alpha", "f"))
+    g = k @ (a * y) - y
+    up, down = np.where(y > 0, a < 1 - 1e-5, a > 1e-5), np.where(y > 0, a > 1e-5, a < 1 - 1e-5)
+    assert np.abs(f - g).max() < 1e-9 and g[down].max() - g[up].min() <= 2e-3 + 1e-9 and rho == pytest.approx((g[down].max() + g[up].min()) / 2)
+
+
 def test_svm_train_by_working_sets(spark, monkeypatch):
     """The query's coefficients, where the driver holds no rows, close the gap over all rows; with few passes, where each step took some before."""
     monkeypatch.setattr(svm, "train", partial(svm.train, local_rows=0))
