@@ -49,6 +49,28 @@ def test_ids_when_the_memory_is_small(encoder):
     assert [e.encode(t) for t in texts] == [direct(encoder, t) for t in texts]
 
 
+def test_the_library_is_asked_once_for_each_distinct_word():
+    """However a word is written or what stands around it: words are cut from texts as arrays."""
+    texts = ["Über, ÜBER; über... 2020 naïve", None, "don't Don't über--naïve ×÷ 日本 a<b", "", "The the,THE! (the) 日本 a <|endoftext|>x"] * 3
+    e, asked = WordEncoder(WORDS), []
+
+    class Model:
+        def tokenize(self, word):
+            asked.append(word)
+            return e.whole.model.tokenize(word)
+
+    e.model = Model()
+    assert [e.encode(t) for t in texts] == [direct(e, t) for t in texts] == e.encode_many(texts)
+    plain = [w for w in asked if w not in ("don", "'t")]  # those of a chunk with an apostrophe are asked for with it
+    assert len(plain) == len(set(plain)) and {"the", "a", "b", "<", ",", "2", "0"} <= set(plain) and len(e.words.keys) == len(set(e.words.keys.to_pylist()))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("aZé×ÉßÿÃ '<|.,15\t\n\x00\x1c\x85\xa0\u0301\u2003日K", max_size=30), max_size=4))
+def test_ids_of_texts_of_few_characters(encoder, texts):
+    assert encoder.encode_many(texts) == [direct(encoder, t) for t in texts]
+
+
 @pytest.mark.parametrize("n,most", [(0, 1), (1, 1), (7, 2), (1000, 30), (5000, 40000), (64, 3), (513, 1)])
 def test_wavelet_shard(n, most):
     t = np.random.default_rng(n).integers(0, most, n).astype("<u4") * 3
