@@ -16,16 +16,16 @@ gradient, from equal weights at the start of each text). Every text starts anew,
 not depend on the order of the texts, and on their partitioning in the last digits only.
 
 Statistics cover every training document. Their way through the cluster: each task splits
-its texts into parts and keeps a part's distinct words and their counts beside its texts; words
-meet by hash to get their total counts and, once the weights are learned, the probabilities of
-their spelling, each word and gate once; these go back to the parts that hold them.
+its texts into parts and keeps a part's distinct words and their counts beside its texts, which
+are numbers of these words from then on; words meet by hash to get their total counts and, once
+the weights are learned, the probabilities of their spelling, each word and gate once; these go
+back to the parts that hold them.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-import struct
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
@@ -76,15 +76,45 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split() if text else []  # bytes: A-Z alone, and the six ASCII spaces
 
 
+_SPACE = bytes(int(b in b" \t\n\r\x0b\x0c") for b in range(256))
+
+
+def tokens_of(raws: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+    """Of texts in UTF-8: how many tokens each has, and all tokens, as `words` has them, each text closed by the end. No word becomes an object."""
+    data = b"\n".join([*raws, b""]).lower()
+    space = np.frombuffer(data.translate(_SPACE), bool)
+    first = ~space
+    kept = np.compress(first, np.frombuffer(data, np.uint8))
+    first[1:] &= space[:-1]
+    at, before = np.flatnonzero(first), np.cumsum(space, dtype=np.int32)
+    ends = np.cumsum([len(raw) + 1 for raw in raws], dtype=np.int64)
+    lengths = np.diff(np.searchsorted(at, ends), prepend=0) + 1
+    close = np.zeros(len(at) + len(raws) + 1, bool)
+    close[np.cumsum(lengths) - 1] = True
+    starts = np.full(len(close), len(kept), np.int32)
+    starts[close] = ends - before[ends - 1]
+    close[-1] = True
+    starts[~close] = at - before[at]
+    return lengths, pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(kept)])
+
+
 def numbered(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Of texts of words with a space between two: the tokens of each, the end among them; each token's place among the distinct ones; and these. No word becomes an object."""
-    buf = np.frombuffer(b"".join([raw + b"  " if raw else b" " for raw in raws]), np.uint8)
-    space = buf == 32
-    ends = np.flatnonzero(space)
-    at = np.concatenate([[0], ends - np.arange(len(ends))]).astype(np.int32)
-    tokens = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(at), pa.py_buffer(np.compress(~space, buf))])
+    """Of texts in UTF-8: how many tokens each has, each token's place among the distinct ones, and these."""
+    lengths, tokens = tokens_of(raws)
     d = tokens.dictionary_encode()
-    return np.array([raw.count(b" ") + 2 if raw else 1 for raw in raws], np.int64), d.indices.to_numpy().astype(np.int64), d.dictionary
+    return lengths, d.indices.to_numpy().astype(np.int64), d.dictionary
+
+
+def listed(raw: bytes) -> pa.Array:
+    """Words with a line feed between two."""
+    buf = np.frombuffer(raw + b"\n", np.uint8)
+    ends = np.flatnonzero(buf == 10)
+    at = np.concatenate([[0], ends - np.arange(len(ends))]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(at), pa.py_buffer(np.compress(buf != 10, buf))])
+
+
+def utf8(text: str | None) -> bytes:
+    return text.encode("utf-8", "replace") if text else b""
 
 
 def pack(data: bytes) -> bytes:
@@ -308,11 +338,17 @@ def _profile(batches):
     """
     tops, total, n, missed = Counter(), np.zeros(256, np.int64), 0, 0
     for part in _texts(batches, 0):
-        for t in part.column(0).to_pylist():
-            w = words(t)
-            tops.update(w)
-            n += len(w)
-            total += np.bincount(np.frombuffer(b" ".join([*w, b" "]), np.uint8), minlength=256)
+        lengths, tokens = tokens_of([utf8(t) for t in part.column(0).to_pylist()])
+        n += len(tokens) - len(lengths)
+        total += np.bincount(np.frombuffer(tokens.buffers()[2], np.uint8), minlength=256)
+        total[32] += len(tokens)
+        d = tokens.dictionary_encode()
+        often = np.bincount(d.indices.to_numpy(), minlength=len(d.dictionary))
+        cut = max(0, int(TOP_SHARE / 8 * n) - missed)  # half of what may be missed, the other half is left to the sum
+        at = np.flatnonzero(often > cut)
+        tops.update(dict(zip(d.dictionary.take(pa.array(at)).to_pylist(), often[at].tolist())))
+        tops.pop(b"", None)  # the end
+        missed += cut
         if len(tops) > 200_000 and (cut := int(TOP_SHARE / 4 * n) - missed) > 0:
             tops = Counter({w: c for w, c in tops.items() if c > cut})
             missed += cut
@@ -322,15 +358,15 @@ def _profile(batches):
 
 def _together(batches, tops: list[bytes]):
     """In how many documents two of the words occur (i, j), and how often each occurs at all (i, null)."""
-    at = {w: i for i, w in enumerate(tops)}
+    names = pa.array(tops, pa.binary())
     total, often = np.zeros((len(tops), len(tops)), np.int64), np.zeros(len(tops), np.int64)
     for part in _texts(batches, 0):
-        x = np.zeros((part.num_rows, len(tops)), np.float32)
-        for i, t in enumerate(part.column(0).to_pylist()):
-            own = [at[w] for w in words(t) if w in at]
-            if own:
-                x[i] = np.bincount(own, minlength=len(tops))
-        often += x.sum(0, dtype=np.float64).astype(np.int64)
+        lengths, tokens = tokens_of([utf8(t) for t in part.column(0).to_pylist()])
+        top = pc.index_in(tokens, value_set=names).fill_null(-1).to_numpy()
+        own = np.flatnonzero(top >= 0)
+        cell = np.repeat(np.arange(len(lengths)), lengths)[own] * len(tops) + top[own]
+        x = np.bincount(cell, minlength=len(lengths) * len(tops)).reshape(len(lengths), -1)
+        often += x.sum(0)
         x = (x > 0).astype(np.float32)
         total += np.rint(x.T @ x).astype(np.int64)
     i, j = np.nonzero(total)
@@ -342,53 +378,63 @@ def _row(kind=0, p=0, r=0, words=b"", counts=b"", tokens=0, known=0):
     return pa.RecordBatch.from_pydict({"kind": [kind], "p": [p], "r": [r], "words": [words], "counts": [counts], "tokens": [tokens], "known": [known]}, schema=to_arrow_schema(PART))
 
 
-HEAD = struct.Struct("<q??")
+#: What a part says of each document: its id, whether that is null, whether it is learned from, its tokens, the bytes of its words with one more each.
+DOCUMENT = np.dtype([("key", "<i8"), ("null", "?"), ("train", "?"), ("tokens", "<i8"), ("size", "<i8")])
 
 
 class _Part:
-    """The texts of a part, its distinct words, and how often each occurs in training and whether it occurs at all, by gate."""
+    """The texts of a part as numbers, its distinct words, and how often each occurs in training and whether it occurs at all, by gate."""
 
     def __init__(self, gates: Gates):
         self.gates, self.found = gates, []  # found: distinct words, and gate, place, count of what is seen
         self.names, classes = pa.array(list(gates.classes), pa.binary()), list(gates.classes.values())
         self.classes = np.array([*classes, -1], np.int8)
-        self.docs, self.size, self.pending, self.held = [], 0, [], 0
+        self.docs, self.size, self.pending, self.held = [], 0, [], 0  # docs: of each round, the documents and their tokens' places in its distinct words
 
     def add(self, key, text: str | None, train: bool) -> None:
-        raw = b" ".join(words(text))
-        self.docs.append(HEAD.pack(key or 0, key is None, train) + len(raw).to_bytes(8, "little") + raw)
+        raw = utf8(text)
         self.size += len(raw)
-        self.pending.append((raw, train))
+        self.pending.append((raw, key, train))
         self.held += len(raw)
         if self.held > SOME_BYTES:
             self.count()
 
     def count(self) -> None:
-        """Counts the pending texts by gate."""
+        """Numbers the pending texts' words and counts them by gate."""
         if not self.pending:
             return
-        lengths, at, distinct = numbered([raw for raw, _ in self.pending])
+        lengths, at, distinct = numbered([raw for raw, _, _ in self.pending])
+        starts = np.cumsum(lengths) - lengths
         name = pc.index_in(distinct, value_set=self.names).fill_null(-1).to_numpy()
-        gate = self.gates.of(self.classes[name][at], np.cumsum(lengths) - lengths)
+        gate = self.gates.of(self.classes[name][at], starts)
         cell = gate.astype(np.int64) * len(distinct) + at
-        train = np.repeat(np.array([t for _, t in self.pending], bool), lengths)
+        train = np.repeat(np.array([t for _, _, t in self.pending], bool), lengths)
         seen = np.flatnonzero(np.bincount(cell))
         n = np.bincount(cell[train], minlength=self.gates.n * len(distinct))[seen]
         self.found.append((distinct, (seen // len(distinct)).astype(np.int8), (seen % len(distinct)).astype(np.int32), n.astype(np.int32)))
+        docs = np.zeros(len(lengths), DOCUMENT)
+        docs["key"], docs["null"] = [k or 0 for _, k, _ in self.pending], [k is None for _, k, _ in self.pending]
+        docs["train"], docs["tokens"] = [t for _, _, t in self.pending], lengths
+        docs["size"] = np.maximum(np.add.reduceat((pc.binary_length(distinct).to_numpy() + 1)[at], starts, dtype=np.int64) - 1, 1)
+        self.docs.append((docs, at.astype(np.int32)))
         self.pending, self.held = [], 0
 
     def texts(self, p: int):
-        if self.docs:
-            yield _row(1, p, -1, pack(b"".join(self.docs)))
-        self.docs = []
+        """Rows of some documents each, their tokens as places among the part's words in the order of the shards; after vocabulary, which settles that."""
+        for (docs, at), places in zip(self.docs, self.places):
+            ends = np.cumsum(docs["tokens"])
+            cuts = np.flatnonzero(np.diff(np.cumsum(docs["size"]) // BLOB_BYTES)) + 1
+            for own, tokens in zip(np.split(docs, cuts), np.split(places[at], ends[cuts - 1])):
+                yield _row(1, p, -1, pack(tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()), pack(own.tobytes()), len(own))
 
     def vocabulary(self, p: int, shards: int):
-        """A row for each shard that has words of the part: the words and, gate by gate, twice the count and one more if it is seen."""
+        """A row for each shard that has words of the part, in their order: the words and, gate by gate, twice the count and one more if it is seen."""
         self.count()
+        self.places: list[np.ndarray] = []
         if not self.found:
             return
         d = pa.concat_arrays([x[0] for x in self.found]).dictionary_encode()
-        number, words, done = d.indices.to_numpy(), d.dictionary.to_pylist(), 0
+        number, words, done, ends = d.indices.to_numpy(), d.dictionary.to_pylist(), 0, np.cumsum([len(x[0]) for x in self.found])
         both = np.zeros((self.gates.n, len(words)), np.int32)
         for distinct, gate, at, n in self.found:
             at = number[done : done + len(distinct)][at]
@@ -396,6 +442,9 @@ class _Part:
             done += len(distinct)
         shard = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % shards
         order = np.argsort(shard, kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        self.places = np.split(place[number], ends[:-1])
         both = both[:, order].astype("<i4", copy=False)
         for own in np.split(np.arange(len(order)), np.flatnonzero(np.diff(shard[order])) + 1):
             if len(own):
@@ -404,22 +453,16 @@ class _Part:
 
 def _parts(batches, gates: Gates, shards: int):
     """Rows of kind 0: a part's words of a shard with counts by gate; of kind 1: some of its documents."""
-    p = TaskContext.get().partitionId() << 32
-    part, blob = _Part(gates), 0
+    p, part = TaskContext.get().partitionId() << 32, _Part(gates)
     for rows in _texts(batches, 1):
         for k, t, train in zip(*(rows.column(i).to_pylist() for i in range(3))):
-            before = part.size
             part.add(k, t, bool(train))
-            blob += part.size - before
-            if blob > BLOB_BYTES:
-                yield from part.texts(p)
-                blob = 0
             if part.size > PART_BYTES:
-                yield from part.texts(p)
                 yield from part.vocabulary(p, shards)
-                p, part, blob = p + 1, _Part(gates), 0
-    yield from part.texts(p)
+                yield from part.texts(p)
+                p, part = p + 1, _Part(gates)
     yield from part.vocabulary(p, shards)
+    yield from part.texts(p)
 
 
 def _merge(batches, n_gates: int, shared=None):
@@ -581,53 +624,42 @@ def _score(batches, shared, train_tokens: int, train_words: int):
     gates: Gates = shared.value
     floor = math.log10(train_tokens + 0.1 * (train_words + 1)) if train_tokens else 0.0
     arrow = to_arrow_schema(SCORE)
-    part, index, rows, ready = None, {}, [], None
+    names, kinds = pa.array(list(gates.classes), pa.binary()), np.array([*gates.classes.values(), -1], np.int8)
+    part, rows, ready = None, [], None
 
     def vocabulary():
-        counts, scores, items = [], [], []
-        for raw, own in rows:
-            w = unpack(raw).split(b"\n")
-            data = unpack(own)
+        """Total counts, scores by gate and classes of the part's words, in the order of the shards."""
+        counts, scores, classes = [], [], []
+        for _, raw, own in sorted(rows):
+            w, data = listed(unpack(raw)), unpack(own)
             bits = -(-gates.n * len(w) // 8)
             seen = np.unpackbits(np.frombuffer(data, np.uint8, bits, 8 * len(w)), count=gates.n * len(w)).astype(bool).reshape(gates.n, -1)
             s = np.zeros(seen.shape, np.float32)
             s[seen] = np.frombuffer(data, "<f4", -1, 8 * len(w) + bits)
             counts.append(np.frombuffer(data, "<i8", len(w)))
             scores.append(s)
-            items += w
-        index.update(zip(items, range(len(items))))
-        classes = np.fromiter((gates.classes.get(w, -1) for w in items), np.int8, len(items))
-        return np.concatenate(counts), np.concatenate(scores, axis=1), classes
+            classes.append(kinds[pc.index_in(w, value_set=names).fill_null(-1).to_numpy()])
+        counts = np.concatenate(counts)
+        return np.log10(counts + 0.1), counts > 0, np.concatenate(scores, axis=1), np.concatenate(classes)
 
     for batch in batches:
-        for kind, p, raw, own in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4))):
+        for kind, p, r, raw, own in zip(*(batch.column(i).to_pylist() for i in range(5))):
             if p != part:
-                part, index, rows, ready = p, {}, [], None
+                part, rows, ready = p, [], None
             if kind == 0:
-                rows.append((raw, own))
+                rows.append((r, raw, own))
                 continue
             if ready is None:
                 ready, rows = vocabulary(), []
-            counts, scores, classes = ready
-            data, at, heads, flat, lengths = unpack(raw), 0, [], [], []
-            while at < len(data):
-                k, null, train = HEAD.unpack_from(data, at)
-                at += HEAD.size
-                size = int.from_bytes(data[at : at + 8], "little")
-                w = data[at + 8 : at + 8 + size].split()
-                at += 8 + size
-                flat += w
-                flat.append(b"")
-                heads.append((None if null else k, not train, size + 1))
-                lengths.append(len(w) + 1)
-            word = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
+            logs, known, scores, classes = ready
+            docs = np.frombuffer(unpack(own), DOCUMENT)
+            word = np.ascontiguousarray(np.frombuffer(unpack(raw), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+            lengths = docs["tokens"]
             starts = np.cumsum(lengths) - lengths
             score = adapted(scores[gates.of(classes[word], starts), word].astype(np.float64), word, starts)
-            c = counts[word]
-            base = np.add.reduceat(np.log10(c + 0.1), starts) - np.array(lengths) * floor if train_tokens else np.zeros(len(starts))
-            keys, held, sizes = zip(*heads)
-            cols = [keys, held, lengths, np.add.reduceat((c > 0).astype(np.int64), starts), [train_tokens] * len(starts), base, np.add.reduceat(score, starts), sizes]
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, arrow)], schema=arrow)
+            base = np.add.reduceat(logs[word], starts) - lengths * floor if train_tokens else np.zeros(len(starts))
+            cols = [pa.array(docs["key"], pa.int64(), mask=docs["null"]), ~docs["train"], lengths, np.add.reduceat(known[word], starts, dtype=np.int64), np.full(len(docs), train_tokens, np.int64), base, np.add.reduceat(score, starts), docs["size"]]
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(np.ascontiguousarray(x), f.type) for x, f in zip(cols, arrow)], schema=arrow)
 
 
 def score(docs: DataFrame, train: F.Column, key: str = "doc_id", text: str = "text") -> DataFrame:

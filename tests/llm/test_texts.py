@@ -485,3 +485,35 @@ def test_parts_count_words_by_gate(monkeypatch):
     for k in (key, key - 4, key << 56):  # small, negative and too large keys
         n, number = context_mixing.earlier(k)
         assert n.tolist() == [int((k[:i] == x).sum()) for i, x in enumerate(k)] and number.tolist() == np.unique(k, return_inverse=True)[1].tolist()
+
+
+def test_parts_keep_texts_as_numbers_of_their_words(monkeypatch):
+    """The rows of documents, with the words of the shards in their order, give every token back, over several rounds and rows; so do the profile's counts."""
+    monkeypatch.setattr(context_mixing, "SOME_BYTES", 400)
+    monkeypatch.setattr(context_mixing, "BLOB_BYTES", 150)
+    rng = np.random.default_rng(5)
+    texts = [None, "", " \t ", "A\x0bb \u00c4\u2003x\r\nb"] + [" ".join(rng.choice(["a", "BB", "c\x1cd", "\u00e4", "e" * 40], rng.integers(0, 30))) for _ in range(70)]
+    part = context_mixing._Part(context_mixing.Gates({b"a": 0, b"bb": 1}))
+    for i, t in enumerate(texts):
+        part.add(None if i == 5 else i - 3, t, i % 2 == 0)
+    rows = [r.to_pylist()[0] for r in [*part.vocabulary(7, 4), *part.texts(7)]]
+    words = [w for r in sorted((r for r in rows if r["kind"] == 0), key=lambda r: r["r"]) for w in context_mixing.unpack(r["words"]).split(b"\n")]
+    assert context_mixing.listed(b"\n".join(words)).to_pylist() == words and len(set(words)) == len(words)
+    got = []
+    for r in rows:
+        if r["kind"] == 1:
+            at = np.ascontiguousarray(np.frombuffer(context_mixing.unpack(r["words"]), np.uint8).reshape(4, -1).T).view("<u4").ravel().tolist()
+            for key, null, train, n, size in np.frombuffer(context_mixing.unpack(r["counts"]), context_mixing.DOCUMENT).tolist():
+                got.append((None if null else key, train, [words[i] for i in at[:n]], size))
+                at = at[n:]
+            assert not at
+    own = [context_mixing.words(t) for t in texts]
+    assert got == [(None if i == 5 else i - 3, i % 2 == 0, [*w, b""], len(b" ".join(w)) + 1) for i, w in enumerate(own)] and sum(r["kind"] == 1 for r in rows) > len(part.found) > 1
+    batch = lambda t: context_mixing.pa.RecordBatch.from_pydict({"t": context_mixing.pa.array(t, "string")})
+    monkeypatch.setattr(context_mixing, "TOP_SHARE", 0.05)
+    profile = [x for b in context_mixing._profile([batch(texts[:40]), batch(texts[40:])]) for x in b.to_pylist()]
+    often = collections.Counter(w for x in own for w in x)
+    assert {w for w, n in often.items() if n >= 0.05 * often.total()} <= {x["key"] for x in profile if x["kind"] == 0} <= often.keys() and profile[-1]["n"] == often.total()
+    together = {(x["i"], x["j"]): x["n"] for b in context_mixing._together([batch(texts)], [b"a", b"bb"]) for x in b.to_pylist()}
+    a, b = ({i for i, w in enumerate(own) if name in w} for name in (b"a", b"bb"))
+    assert together == {(0, 0): len(a), (0, 1): len(a & b), (1, 0): len(a & b), (1, 1): len(b), (0, None): often[b"a"], (1, None): often[b"bb"]}
