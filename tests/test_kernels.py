@@ -300,6 +300,51 @@ def test_sparse_products_in_blocks(spark, density, features):
     assert all(found[k] == pytest.approx(sum(w), abs=1e-12) if w else found[k] is None for k, w in want.items())
 
 
+@pytest.mark.parametrize(("density", "features"), [(0.9, 20), (0.02, 3000)])
+def test_sparse_products_of_rows_among_themselves(spark, density, features):
+    """Blocks that meet once give each pair and its reverse once, alike; few and many blocks, against plain loops."""
+    rng = np.random.default_rng(3)
+    rows = [(f"r{i}", f, float(rng.normal())) for i in range(40) for f in range(features) if rng.random() < density]
+    rows += [rows[0], ("only", 3, None), (None, 3, 2.0), ("lost", None, 1.0)]
+    long = spark.createDataFrame(rows, "id string, idx int, val double")
+    want, of = {}, {}
+    for i, f, x in rows:
+        of.setdefault(f, []).append((i, x))
+    for f in of.keys() - {None}:
+        for i, x in of[f]:
+            for j, y in of[f]:
+                want.setdefault((i, j), []).extend([] if x is None or y is None else [x * y])
+    for entries in (200, 1_000_000):
+        got = svm.sparse_dot(long, long, digits=6, entries=entries).collect()
+        found = {(r.a_id, r.b_id): r.dot for r in got}
+        assert len(got) == len(want) and found.keys() == want.keys() and found["only", "only"] is None
+        assert all(found[k] == pytest.approx(sum(w), abs=2e-6) if w else found[k] is None for k, w in want.items())
+        assert all(found[j, i] == d for (i, j), d in found.items())
+    nothing = long.where("idx < 0")
+    assert svm.sparse_dot(nothing, nothing).count() == svm.sparse_dot(nothing, long).count() == 0
+
+
+def test_sparse_blocks_are_stored_once(spark, tmp_path):
+    """What is shuffled doesn't grow with the pairs of blocks, and the two pairs of a product take little more room than one."""
+    rng = np.random.default_rng(4)
+    rows = [(i, f, float(rng.normal())) for i in range(500) for f in range(20)]
+    long = spark.createDataFrame(rows, "id long, idx int, val double")
+    sc = spark.sparkContext
+    bus, store, none = sc._jsc.sc().listenerBus(), sc._jsc.sc().statusStore(), sc._gateway.new_array(sc._jvm.double, 0)
+
+    def shuffled() -> int:
+        bus.waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, none, sc._jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    before = shuffled()
+    svm.sparse_dot(long, long, digits=6, entries=2_000).write.parquet(f"{tmp_path}/many")
+    assert shuffled() - before < 60 * len(rows)
+    svm.sparse_dot(long, long, digits=6).write.parquet(f"{tmp_path}/one")
+    assert spark.read.parquet(f"{tmp_path}/many").count() == spark.read.parquet(f"{tmp_path}/one").count() == 250_000
+    assert sum(f.stat().st_size for f in (tmp_path / "one").glob("*.parquet")) < 7 * 250_000
+
+
 def test_kernels(spark):
     r = spark.createDataFrame([([1.0, 2.0], [3.0, 4.0])], "a array<double>, b array<double>")
     got = r.select(v.rbf(F.col("a"), F.col("b"), 0.5).alias("r"), v.linear_kernel(F.col("a"), F.col("b")).alias("l"), v.polynomial_kernel(F.col("a"), F.col("b"), 2, 1, 2).alias("p"), v.sigmoid_kernel(F.col("a"), F.col("b"), 0.1, 0).alias("s"), v.squared_distance(F.col("a"), F.col("b")).alias("d")).first()
